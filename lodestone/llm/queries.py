@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lodestone.llm.tables import read_table
 
@@ -22,15 +23,30 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm import mixing
+
+    mixed = mixing.mix(read_table(spark, sf_dir, "documents"), F.array("source"))
+    return mixed.select("doc_id", "size", F.col("pattern")[0].alias("source"), F.col("pattern_size").alias("source_size"), "target", "copies", "taken")
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestone.llm import pii
 
     return pii.digest(pii.detect(read_table(spark, sf_dir, "documents")))
 
 
+def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm import neardup
+
+    return neardup.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
+    "op5_mixing": op5_mixing,
     "op8_pii": op8_pii,
+    "op10_near_duplicates": op10_near_duplicates,
 }
 
 ORACLE: dict[str, str] = {}

@@ -15,6 +15,9 @@ import pyarrow.compute  # noqa: F401
 U64 = np.uint64
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: Separators where punctuation is not part of a word either.
+_LOOSE = _SPACE.copy()
+_LOOSE[[*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]] = True
 _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.int64).astype(U64) | U64(1)
 _LOWER = _BYTE.copy()
@@ -48,10 +51,13 @@ def utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of all words in data, and for each text the number of its first word (one more entry: all)."""
+def word_spans(data: np.ndarray, offsets: np.ndarray, punctuation: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of all words in data, and for each text the number of its first word (one more entry: all).
+
+    Without `punctuation`, ASCII punctuation separates words as white space does.
+    """
     solid = np.zeros(len(data) + 2, bool)
-    solid[1:-1] = ~_SPACE[data]
+    solid[1:-1] = ~(_SPACE if punctuation else _LOOSE)[data]
     begins, finishes = solid[1:-1] & ~solid[:-2], solid[1:-1] & ~solid[2:]
     inner = offsets[1:-1]
     inner = inner[(inner > 0) & (inner < len(data))]
