@@ -9,11 +9,13 @@ against union, in whole per cents) are linked, and the links' components are the
    sketches estimates how alike two sets are.
 2. Equal sets are one node from here on, represented by their smallest doc_id.
 3. Two nodes are candidates when they share a band. Each is first compared with the smallest node of its band (a star,
-   not all pairs), by sketch and then on the full sets.
-4. What the stars leave apart is settled in rounds. A round pairs, within each band, nodes of different components whose
-   sketches are near, nearest first and up to `reach` for each node of the smaller component; the pairs are checked on
-   full sets and components grow. `reach` widens until no list was cut short, so in the end every candidate pair is
-   either inside one component or has been refuted: rounds order the work and drop none of it.
+   not all pairs). Sketches and a bitmap of each set refute most pairs that fall short: a bit that one set has and the
+   other lacks is a shingle that they do not share, so the bound that bitmaps give is certain. What is left is checked
+   on the full sets.
+4. What the stars leave apart is settled in rounds. A round pairs, within each band, nodes of different components that
+   sketches and bitmaps allow, nearest first and up to `reach` for each node of the smaller component; the pairs are
+   checked on full sets and components grow. `reach` widens until no list was cut short, so in the end every candidate
+   pair is either inside one component or has been refuted: rounds order the work and drop none of it.
 
 Bands miss a pair at exactly 75 per cent with probability (1 - 0.75**rows) ** bands, 2e-6 here, and less above; a sketch
 estimate is let through from `SKETCH_FLOOR`, more than four deviations below the threshold. No pair is linked unless its
@@ -33,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm import words
+from lodestone.llm import bloom, words
 from lodestone.llm.components import connected
 from lodestone.llm.tables import Workspace
 from lodestone.llm.words import U64
@@ -43,7 +45,7 @@ BANDS, ROWS = 33, 4
 SKETCH_BITS = 512
 SKETCH_FLOOR = 0.58
 BLOCK, HUB_BLOCK = 1024, 512
-FIRST_REACH, WIDEN = 4, 8
+FIRST_REACH, WIDEN = 2, 16
 
 _rng = np.random.default_rng(7)
 _A = _rng.integers(1, 2**63, BANDS * ROWS, dtype=np.int64).astype(U64) | U64(1)
@@ -85,6 +87,27 @@ def estimate(differing: np.ndarray) -> np.ndarray:
 MOST_DIFFERING = int(SKETCH_BITS / 2 * -np.expm1((SKETCH_FLOOR - 1) * 4 * BANDS * ROWS / SKETCH_BITS))
 
 
+def bitmaps(sets: list[np.ndarray]) -> list[np.ndarray]:
+    """A bitmap of each set in 64-bit integers, a power of two of them with four places or more for each shingle.
+
+    Places are low bits of a hash, so the two halves of a bitmap put over each other are the bitmap of half the size.
+    """
+    out = []
+    for s in sets:
+        n = 1 << max(0, int(np.ceil(np.log2(max(len(s), 1) / 16))))
+        bits = np.zeros(64 * n, np.uint8)
+        bits[(words.mix(s, 60) & U64(64 * n - 1)).astype(np.int64)] = 1
+        out.append(np.packbits(bits).view(np.int64))
+    return out
+
+
+def _bitmap_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for b in words.slices(whole, "text"):
+            maps = bitmaps(shingle_sets(words.texts_of(b, "text")))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(maps, pa.list_(pa.int64()))], ["node", "bitmap"])
+
+
 def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """doc_id, n_shingles, fp1 and fp2 (fingerprint of the set), bands, sketch; the last four null for empty sets."""
 
@@ -164,52 +187,95 @@ def _meets(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 def _likely(pairs: DataFrame, traits: DataFrame, percent: int) -> DataFrame:
-    """Those pairs (hub, node) whose sizes and sketches allow the threshold."""
-    of = lambda end: traits.select(F.col("node").alias(end), F.col("n_shingles").alias(f"{end}_size"), F.col("sketch").alias(f"{end}_sketch"))
+    """Those pairs (hub, node) that sizes, sketches and bitmaps do not refute. Size 0 marks a node of several sets."""
+    of = lambda end: traits.select(F.col("node").alias(end), *(F.col(c).alias(f"{end}_{c}") for c in ("size", "sketch", "bitmap")))
     both = pairs.join(of("node"), "node").join(of("hub"), "hub")
-    differing = F.aggregate(F.zip_with("hub_sketch", "node_sketch", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, x: a + x)
-    sizes = F.least("hub_size", "node_size") * 100 >= F.greatest("hub_size", "node_size") * percent
-    return both.where(sizes & (differing <= MOST_DIFFERING)).select("hub", "node")
+    total = lambda a, b, f: F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(f(x, y))), F.lit(0), lambda s, x: s + x)
+    a, b, n, m = (F.col(c) for c in ("hub_bitmap", "node_bitmap", "hub_size", "node_size"))
+    half = lambda x: F.zip_with(F.slice(x, F.lit(1), F.floor(F.size(x) / 2).cast("int")), F.slice(x, F.floor(F.size(x) / 2).cast("int") + 1, F.floor(F.size(x) / 2).cast("int")), lambda x, y: x.bitwiseOR(y))
+    a, b = F.when(F.size(a) > F.size(b), half(a)).otherwise(a), F.when(F.size(b) > F.size(a), half(b)).otherwise(b)
+    alone = lambda x, y: total(x, y, lambda x, y: x.bitwiseAND(F.bitwise_not(y)))
+    common = F.least(n - alone(a, b), m - alone(b, a))
+    alike = (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (total(F.col("hub_sketch"), F.col("node_sketch"), lambda x, y: x.bitwiseXOR(y)) <= MOST_DIFFERING)
+    return both.where((n == 0) | (m == 0) | (alike & (common * 100 >= (n + m - common) * percent))).select("hub", "node")
+
+
+class _Block:
+    """The nodes of one band block: what refutes pairs of them, without their sets."""
+
+    def __init__(self, size: np.ndarray, sketch: np.ndarray, bitmap: pa.ChunkedArray, percent: int):
+        self.size, self.bits, self.percent = size, sketch.view(U64), percent
+        flat = bitmap.combine_chunks()
+        offsets, values = np.asarray(flat.offsets, np.int64), np.asarray(flat.values, np.int64).view(U64)
+        self.width = np.diff(offsets)
+        self.rows: dict[int, np.ndarray] = {}
+        self.maps: dict[int, np.ndarray] = {}
+        for w in np.unique(self.width):
+            rows = np.flatnonzero(self.width == w)
+            self.maps[w] = values[offsets[rows][:, None] + np.arange(w)]
+            self.rows[w] = np.full(len(size), -1)
+            self.rows[w][rows] = np.arange(len(rows))
+
+    def _at(self, nodes: np.ndarray, width: int) -> np.ndarray:
+        """Bitmaps of nodes, all of one width, brought to `width` by folding."""
+        own = int(self.width[nodes[0]])
+        maps = self.maps[own][self.rows[own][nodes]]
+        while maps.shape[1] > width:
+            maps = maps[:, : maps.shape[1] // 2] | maps[:, maps.shape[1] // 2 :]
+        return maps
+
+    def near(self, i: int, others: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Those of others that may meet the threshold with i, and the largest intersection each may have."""
+        n, sizes = self.size[i], self.size[others]
+        wild = (sizes == 0) | (n == 0)
+        fits = 100 * np.minimum(sizes, n) >= self.percent * np.maximum(sizes, n)
+        others = others[wild | fits]
+        differing = np.bitwise_count(self.bits[others] ^ self.bits[i]).sum(1)
+        wild = (self.size[others] == 0) | (n == 0)
+        others = others[wild | (differing <= MOST_DIFFERING)]
+        common = np.zeros(len(others), np.int64)
+        for w in np.unique(self.width[others]):
+            at = np.flatnonzero(self.width[others] == w)
+            width = int(min(w, self.width[i]))
+            theirs, mine = self._at(others[at], width), self._at(np.array([i]), width)
+            only_theirs, only_mine = np.bitwise_count(theirs & ~mine).sum(1).astype(np.int64), np.bitwise_count(mine & ~theirs).sum(1).astype(np.int64)
+            common[at] = np.minimum(self.size[others[at]] - only_theirs, n - only_mine)
+        wild = (self.size[others] == 0) | (n == 0)
+        keep = wild | (100 * common >= self.percent * (self.size[others] + n - common))
+        return others[keep], common[keep]
 
 
 def _near_pairs(members: DataFrame, reach: int, percent: int) -> DataFrame:
-    """Pairs (hub, node) of different components within a band whose sketches are near; `cut` tells of a list cut short.
+    """Pairs (hub, node) of different components within a band that may meet the threshold; `cut`: a list was cut short.
 
-    members: key, node, root, weight (nodes of its component), n_shingles, sketch. A pair is found from the side whose
+    members: key, node, root, weight (nodes of its component), size, sketch, bitmap. A pair is found from the side whose
     component is smaller, so what a large component has in common is not told again by each of its nodes.
     """
     blocks = members.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     spread = members.join(blocks, "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     spread = spread.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     low, high = F.least("own", "other"), F.greatest("own", "other")
-    spread = spread.select("key", low.alias("low"), high.alias("high"), "own", "node", "root", "weight", "n_shingles", "sketch")
+    spread = spread.select("key", low.alias("low"), high.alias("high"), "own", "node", "root", "weight", "size", "sketch", "bitmap")
     spread = spread.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
 
-    def settle(key: list, columns: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        own, node, root, weight, size, sketch = columns
+    def settle(key: list, columns: list) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        own, node, root, weight, size, sketch, bitmap = columns
         ranked = np.lexsort((root, weight))
         standing = np.empty(len(root), np.int64)
         standing[ranked] = np.cumsum(np.r_[True, root[ranked][1:] != root[ranked][:-1]])
-        bits = sketch.view(U64)
+        block = _Block(size, sketch, bitmap, percent)
         left = own == key[1]
         sides = [(left, ~left), (~left, left)] if key[1] != key[2] else [(left, left)]
         for side, against in sides:
-            mine, theirs = np.flatnonzero(side), np.flatnonzero(against)
-            for i in mine:
-                ahead = theirs[standing[theirs] > standing[i]]
+            theirs = np.flatnonzero(against)
+            for i in np.flatnonzero(side):
+                ahead, common = block.near(i, theirs[standing[theirs] > standing[i]])
                 if len(ahead):
-                    sizes = size[ahead]
-                    ahead = ahead[100 * np.minimum(sizes, size[i]) >= percent * np.maximum(sizes, size[i])]
-                if not len(ahead):
-                    continue
-                differing = np.bitwise_count(bits[ahead] ^ bits[i]).sum(1)
-                near = np.flatnonzero(differing <= MOST_DIFFERING)
-                if len(near):
-                    best = near[np.argsort(differing[near], kind="stable")[:reach]]
-                    yield node[ahead[best]], np.full(len(best), node[i]), np.full(len(best), len(near) > reach)
+                    best = np.argsort(-common / np.maximum(size[ahead] + size[i] - common, 1), kind="stable")[:reach]
+                    yield node[ahead[best]], np.full(len(best), node[i]), np.full(len(best), len(ahead) > reach)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, columns in _grouped(batches, 3):
+        for key, columns in _grouped(batches, 3, ragged=("bitmap",)):
             found = list(settle(key, columns))
             if found:
                 hub, node, cut = (np.concatenate(x) for x in zip(*found, strict=True))
@@ -218,13 +284,16 @@ def _near_pairs(members: DataFrame, reach: int, percent: int) -> DataFrame:
     return spread.mapInArrow(run, "hub long, node long, cut boolean")
 
 
-def _grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[list, list[np.ndarray]]]:
-    """Groups of rows with equal leading columns, from batches sorted by them: (key, other columns as arrays)."""
+def _grouped(batches: Iterator[pa.RecordBatch], keys: int, ragged: tuple[str, ...] = ()) -> Iterator[tuple[list, list]]:
+    """Groups of rows with equal leading columns, from batches sorted by them: (key, other columns as arrays).
+
+    Lists of one length become matrices; `ragged` columns stay as they are.
+    """
     key, parts = None, []
 
-    def arrays() -> list[np.ndarray]:
+    def arrays() -> list:
         table = pa.Table.from_batches(parts)
-        return [_matrix(c) if pa.types.is_list(c.type) else c.to_numpy() for c in table.columns[keys:]]
+        return [c if name in ragged else _matrix(c) if pa.types.is_list(c.type) else c.to_numpy() for name, c in zip(table.column_names[keys:], table.columns[keys:], strict=True)]
 
     for b in batches:
         if not b.num_rows:
@@ -260,8 +329,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("hub")).where("n > 1")
     bands = space.write(keyed.join(shared.select("key", "hub"), "key").distinct(), "bands")
     in_bands = bands.select("node").distinct()
-    traits = space.write(reps.join(in_bands, "node", "left_semi").groupBy("node").agg(F.max("n_shingles").alias("n_shingles"), F.max("sketch").alias("sketch")), "traits")
-    texts = space.write(docs.join(in_bands, docs.doc_id == in_bands.node, "left_semi"), "texts")
+    texts = space.write(bloom.rows_with(docs, "doc_id", in_bands), "texts")
+    maps = texts.mapInArrow(_bitmap_rows, "node long, bitmap array<long>").groupBy("node").agg(F.min("bitmap").alias("bitmap"))
+    sets = reps.join(in_bands, "node", "left_semi").groupBy("node").agg(F.count_distinct("fp1").alias("sets"), F.max("n_shingles").alias("size"), F.max("sketch").alias("sketch"))
+    sets = sets.withColumn("size", F.when(F.col("sets") == 1, F.col("size")).otherwise(0)).drop("sets")
+    traits = space.write(sets.join(maps, "node"), "traits")
 
     stars = space.write(_likely(bands.where("hub < node").select("hub", "node").distinct(), traits, percent), "stars")
     edges = space.write(confirmed(stars, texts, percent), "edges")
@@ -277,7 +349,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         apart = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
         weights = roots.groupBy("root").agg(F.count("*").alias("weight"))
         members = rooted.join(apart, "key", "left_semi").join(weights, "root", "left").join(traits, "node")
-        members = members.select("key", "node", "root", F.coalesce("weight", F.lit(1)).cast("long").alias("weight"), "n_shingles", "sketch")
+        members = members.select("key", "node", "root", F.coalesce("weight", F.lit(1)).cast("long").alias("weight"), "size", "sketch", "bitmap")
         found = space.write(_near_pairs(members, reach, percent), "near")
         told = found.agg(F.count("*").alias("n"), F.coalesce(F.max("cut"), F.lit(False)).alias("cut")).first()
         if not told.n:

@@ -112,3 +112,20 @@ def test_components_of_random_graphs(spark, seed):
                 label[a] = label[b] = min(label[a], label[b])
                 changed = True
     assert got == label
+
+
+def test_bitmaps_refute_only_what_falls_short():
+    rng = np.random.default_rng(8)
+    sets = [np.unique(rng.integers(0, 500, rng.integers(5, 220)).astype(np.uint64)) for _ in range(120)]
+    size = np.array([len(s) for s in sets])
+    maps = pa.chunked_array([pa.array(neardup.bitmaps(sets), pa.list_(pa.int64()))])
+    block = neardup._Block(size, neardup.odd_sketches(neardup.minhashes(sets)), maps, 0)
+    neardup_most, neardup.MOST_DIFFERING = neardup.MOST_DIFFERING, 10**6
+    try:
+        for i in range(0, 120, 7):
+            others, common = block.near(i, np.arange(120))
+            for j, most in zip(others, common, strict=True):
+                assert len(np.intersect1d(sets[i], sets[j])) <= most
+            assert len(others) == 120
+    finally:
+        neardup.MOST_DIFFERING = neardup_most
