@@ -17,12 +17,32 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm import topk
+
+    return topk.search(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestone.llm import packing
 
     return packing.pack(read_table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm import quality
+
+    docs = read_table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.fit(docs, read_table(spark, sf_dir, "labels")))
+
+
+def op4_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm import toolcalls
+
+    calls, results = toolcalls.as_calls(read_table(spark, sf_dir, "conversations"))
+    return toolcalls.link(calls, results, toolcalls.REPLY)
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestone.llm import mixing
 
@@ -30,12 +50,30 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", F.col("pattern")[0].alias("source"), F.col("pattern_size").alias("source_size"), "target", "copies", "taken")
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm import toxicity
+
+    return toxicity.toxic_documents(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op7_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm import passages
+
+    return passages.repeated(read_table(spark, sf_dir, "documents"))
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestone.llm import pii
 
     return pii.digest(pii.detect(read_table(spark, sf_dir, "documents")))
 
 
+def op9_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm import audio
+
+    return audio.recordings(read_table(spark, sf_dir, "embeddings"), from_vectors=True)
+
+
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestone.llm import neardup
 
@@ -43,10 +81,48 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_topk": op1_topk,
     "op2_packing": op2_packing,
+    "op3_quality": op3_quality,
+    "op4_tool_calls": op4_tool_calls,
     "op5_mixing": op5_mixing,
+    "op6_toxicity": op6_toxicity,
+    "op7_passages": op7_passages,
     "op8_pii": op8_pii,
+    "op9_audio": op9_audio,
     "op10_near_duplicates": op10_near_duplicates,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op1_topk": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), scored AS (
+            SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score
+            FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0
+        )
+        SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
+            SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored
+        ) WHERE rank <= 5
+    """,
+    "op4_tool_calls": """
+        WITH users AS (SELECT conv_id, turn, coalesce(text, '') AS text FROM conversations WHERE role = 'user' AND conv_id IS NOT NULL AND turn IS NOT NULL),
+        calls AS (
+            SELECT u.conv_id, u.turn, u.conv_id || '-' || u.turn AS call_id, u.text, b.turn IS NOT NULL AS follows,
+                   row_number() OVER (PARTITION BY u.conv_id, u.turn ORDER BY u.text) AS again
+            FROM users u LEFT JOIN (SELECT DISTINCT conv_id, turn FROM users) b ON b.conv_id = u.conv_id AND b.turn = u.turn - 2
+        ), replies AS (
+            SELECT conv_id, turn, text FROM (
+                SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY text) AS n FROM conversations WHERE role = 'assistant'
+            ) WHERE n = 1
+        )
+        SELECT c.conv_id, c.turn, CAST(0 AS INTEGER) AS place, c.call_id, 'reply' AS name, CAST(0 AS INTEGER) AS wave,
+               CASE WHEN c.again > 1 THEN 'duplicate' WHEN c.text = '' THEN 'invalid_arguments' WHEN r.turn IS NULL THEN 'no_result' ELSE 'ok' END AS status,
+               r.turn AS result_turn,
+               '{"arguments":{"prompt":' || CAST(to_json(c.text) AS VARCHAR) || '},"call_id":"' || c.call_id || '","depends_on":['
+               || CASE WHEN c.follows THEN '"' || c.conv_id || '-' || (c.turn - 2) || '"' ELSE '' END || '],"name":"reply","result":'
+               || CASE WHEN r.text IS NULL THEN 'null' ELSE CAST(to_json(r.text) AS VARCHAR) END || '}' AS json
+        FROM calls c LEFT JOIN replies r ON r.conv_id = c.conv_id AND r.turn = c.turn + 1
+    """,
+}
