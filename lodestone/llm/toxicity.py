@@ -6,7 +6,7 @@ that had not seen the document, so that it learns to trust them as far as they d
 
 Training uses at most `most_labelled` labelled documents (a documented bound; they are chosen by a hash of their ids).
 Candidate features are counted over all texts of that sample in the cluster, and those with the strongest chi-squared
-association come to the driver: `FEATURES` for each category. Every document is then scored on its whole text.
+association come to the driver: at most `FEATURES` for each category, none below `SIGNIFICANT`. Every document is then scored on its whole text.
 
 A null or empty text has no words and is never flagged. Documents without labels are scored like all others. Without
 both kinds of labels for a category, its model gives their share. Repeated rows get equal scores; an empty table gives
@@ -26,7 +26,9 @@ from lodestone.llm import features, words
 from lodestone.llm.tables import Workspace
 from lodestone.llm.words import U64
 
-MOST_LABELLED, FEATURES, FOLDS, LEAST_DOCS = 20_000, 2048, 5, 3
+MOST_LABELLED, FEATURES, FOLDS, LEAST_DOCS, PENALTY = 20_000, 2048, 5, 2, 1.0
+#: The least chi-squared value of a feature: below it some of the many candidates are associated by chance.
+SIGNIFICANT = 24.0
 #: Lengths in bytes of the word beginnings that are features besides whole words.
 BEGINNINGS = (5, 6)
 #: The labels table marks low quality and toxicity; the chain reads them in this order.
@@ -68,34 +70,56 @@ class Lookup:
 
 
 class Linear:
-    """Logistic regression on sparse 0/1 columns and a few dense ones, by accelerated gradient steps."""
+    """Logistic regression on sparse 0/1 columns and a few dense ones, by Newton steps with conjugate gradients."""
 
-    def __init__(self, sparse: int, dense: int, penalty: float = 1.0):
+    def __init__(self, sparse: int, dense: int, penalty: float = PENALTY):
         self.w, self.v, self.b, self.penalty = np.zeros(sparse), np.zeros(dense), 0.0, penalty
 
     def decide(self, rows: np.ndarray, columns: np.ndarray, dense: np.ndarray) -> np.ndarray:
         return np.bincount(rows, self.w[columns], len(dense)) + dense @ self.v + self.b
 
-    def fit(self, rows: np.ndarray, columns: np.ndarray, dense: np.ndarray, y: np.ndarray, steps: int = 150) -> Linear:
-        n = len(y)
+    def fit(self, rows: np.ndarray, columns: np.ndarray, dense: np.ndarray, y: np.ndarray, steps: int = 12) -> Linear:
+        n, p = len(y), len(self.w)
         if n == 0 or y.min() == y.max():
-            p = np.clip(y.mean() if n else 0.0, 1e-4, 1 - 1e-4)
-            self.b = float(np.log(p / (1 - p)))
+            share = np.clip(y.mean() if n else 0.0, 1e-4, 1 - 1e-4)
+            self.b = float(np.log(share / (1 - share)))
             return self
-        counts = np.bincount(columns, minlength=len(self.w))
-        per_row = np.bincount(rows, minlength=n).max(initial=0) + dense.shape[1] + 1
-        rate_w = 1 / (0.25 * np.maximum(counts, 1) * np.sqrt(per_row) + self.penalty)
-        rate_v = 1 / (0.25 * np.maximum((dense**2).sum(0), 1) * np.sqrt(per_row) + self.penalty)
-        rate_b = 1 / (0.25 * n * np.sqrt(per_row))
-        look = [self.w.copy(), self.v.copy(), self.b]
-        t = 1.0
+        dense = np.column_stack([dense, np.ones(n)])
+        ridge = np.r_[np.full(p, self.penalty), np.full(dense.shape[1] - 1, self.penalty), 1e-6]
+        times = lambda x: np.bincount(rows, x[:p][columns], n) + dense @ x[p:]
+        back = lambda e: np.r_[np.bincount(columns, e[rows], p), e @ dense]
+
+        def loss(x: np.ndarray, z: np.ndarray) -> float:
+            return float(np.logaddexp(0, np.where(y > 0, -z, z)).sum() + 0.5 * (ridge * x * x).sum())
+
+        x = np.zeros(p + dense.shape[1])
+        z = times(x)
         for _ in range(steps):
-            z = np.bincount(rows, look[0][columns], n) + dense @ look[1] + look[2]
-            error = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - y
-            new = [look[0] - rate_w * (np.bincount(columns, error[rows], len(self.w)) + self.penalty * look[0]), look[1] - rate_v * (error @ dense + self.penalty * look[1]), look[2] - rate_b * error.sum()]
-            t, old = (1 + np.sqrt(1 + 4 * t * t)) / 2, t
-            look = [a + (old - 1) / t * (a - b) for a, b in zip(new, (self.w, self.v, self.b), strict=True)]
-            self.w, self.v, self.b = new
+            share = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+            gradient = back(share - y) + ridge * x
+            curve = np.maximum(share * (1 - share), 1e-6)
+            scale = 1 / (np.r_[np.bincount(columns, curve[rows], p), curve @ dense**2] + ridge)
+            step, rest = np.zeros_like(x), -gradient
+            way = scale * rest
+            power = rest @ way
+            first = power
+            for _ in range(30):
+                bent = back(curve * times(way)) + ridge * way
+                size = power / max(way @ bent, 1e-300)
+                step += size * way
+                rest -= size * bent
+                turned = scale * rest
+                power, old = rest @ turned, power
+                if power < 1e-6 * first:
+                    break
+                way = turned + power / old * way
+            now, length, move = loss(x, z), 1.0, times(step)
+            while length > 1e-3 and loss(x + length * step, z + length * move) > now:
+                length /= 2
+            x, z = x + length * step, z + length * move
+            if now - loss(x, z) < 1e-6 * abs(now):
+                break
+        self.w, self.v, self.b = x[:p], x[p:-1], float(x[-1])
         return self
 
 
@@ -180,7 +204,7 @@ def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], most_
         if 0 < all_y < all_n:
             expected = n * all_y / all_n
             chi = F.pow(y - expected, 2) / (expected * (1 - all_y / all_n) * (1 - n / (all_n + 1)))
-            keys |= {r.key for r in counts.orderBy(chi.desc(), "key").select("key").limit(FEATURES).collect()}
+            keys |= {r.key for r in counts.where(chi >= SIGNIFICANT).orderBy(chi.desc(), "key").select("key").limit(FEATURES).collect()}
     lookup = Lookup(np.array(sorted(keys), np.int64))
 
     def matrix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
