@@ -1,10 +1,622 @@
-"""Every query of the engine by name, and the SQL that must agree with it."""
+"""Every query of the engine by name, and the SQL that must agree with it.
+
+A query reads whole tables. Floats are rounded to six places on both sides, for sums may be taken in any order.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lodestone.functions import rules
+from lodestone.functions import scoring as S
+from lodestone.functions import text as T
+from lodestone.operators import analytics, consolidate, graph, search, sessions, store
+from lodestone.sources import bindings as B
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+
+
+def query(name: str, oracle: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if oracle:
+            ORACLE[name] = oracle
+        return f
+
+    return add
+
+
+# --- fragments of oracle SQL ------------------------------------------------------------------------------------------
+
+NOW = f"TIMESTAMP '{B.NOW}'"
+TITLE = "substr(trim(coalesce(list_filter(string_split(coalesce({0}, ''), chr(10)), lambda x: trim(x) <> '')[1], '')), 1, 120)"
+RECORDS = f"""records AS (
+    SELECT d.doc_id, lpad(lower(to_hex(d.doc_id)), 8, '0') AS id, {TITLE.format("d.text")} AS title, d.text AS essence, d.source AS project, [d.lang] AS tags,
+           CASE l.quality WHEN 1 THEN 5 WHEN 0 THEN 1 ELSE 3 END AS importance, CASE WHEN d.doc_id % 4 < 3 THEN d.doc_id % 4 END AS layer,
+           {NOW} - to_hours(d.doc_id) AS created_at, CASE WHEN l.toxic = 1 THEN {NOW} - to_hours(d.doc_id) + INTERVAL 1 DAY END AS invalid_at,
+           CASE WHEN l.quality = 0 THEN 'deprecated' ELSE 'active' END AS status
+    FROM documents d LEFT JOIN labels l USING (doc_id))"""
+TELEMETRY = "telemetry AS (SELECT lpad(lower(to_hex(user_id)), 8, '0') AS id, count(*) AS access_count, max(ts) AS last_accessed FROM events GROUP BY 1)"
+CALLS = "calls AS (SELECT event_id, ts, event_type AS call_type, user_id AS session, CAST(floor(value) AS BIGINT) AS latency_ms, event_id % 100 AS returned, CAST(json_extract(props, '$.k') AS BIGINT) AS cited FROM events)"
+TOKENS = "regexp_extract_all(lower(coalesce({0}, '')), '[a-z0-9]+')"
+SPACED = "list_filter(regexp_split_to_array(lower(coalesce({0}, '')), '\\s+'), lambda x: x <> '')"
+
+
+def _stem_sql(word: str) -> str:
+    return "CASE " + " ".join(f"WHEN length({word}) > {len(s) + 3} AND {word} LIKE '%{s}' THEN substr({word}, 1, length({word}) - {len(s)})" for s in T.SUFFIXES) + f" ELSE {word} END"
+
+
+def _synonym_sql(word: str) -> str:
+    return f"CASE {word} " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in T.SYNONYMS.items()) + " END"
+
+
+def _word_set_sql(text: str) -> str:
+    words = TOKENS.format(text)
+    return f"list_distinct(list_filter(flatten(list_transform({words}, lambda w: [w, {_stem_sql('w')}, {_synonym_sql('w')}])), lambda w: w IS NOT NULL))"
+
+
+def _bm25_sql(words: str, query_words: str, k1: float, b: float, floor: float | None, every_term: bool) -> str:
+    idf = "CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM rawidf) ELSE raw END" if floor is None else f"greatest(raw, {floor})"
+    need = "HAVING count(DISTINCT a.term) = any_value(a.needed)" if every_term else ""
+    return f"""WITH sized AS (SELECT doc_id AS id, {words} AS words FROM documents), kept AS (SELECT * FROM sized WHERE len(words) > 0),
+        stats AS (SELECT CAST(count(*) AS DOUBLE) AS n, avg(len(words)) AS avgdl FROM kept),
+        held AS (SELECT id, len(words) AS dl, unnest(words) AS term FROM kept),
+        tf AS (SELECT id, term, dl, count(*) AS tf FROM held GROUP BY 1, 2, 3),
+        rawidf AS (SELECT term, ln((n - count(*) + 0.5) / (count(*) + 0.5)) AS raw FROM tf, stats GROUP BY term, n),
+        idf AS (SELECT term, {idf} AS idf FROM rawidf),
+        asked AS (SELECT query_id, term, count(*) AS qf, any_value(needed) AS needed FROM (
+            SELECT item_id AS query_id, unnest({query_words}) AS term, len(list_distinct({query_words})) AS needed FROM benchmark) GROUP BY 1, 2),
+        scored AS (SELECT a.query_id, tf.id, sum(a.qf * idf.idf * tf.tf * {k1 + 1} / (tf.tf + {k1} * (1 - {b} + {b} * tf.dl / s.avgdl))) AS score
+            FROM asked a JOIN idf USING (term) JOIN tf USING (term), stats s GROUP BY 1, 2 {need})"""
+
+
+# --- retrieval --------------------------------------------------------------------------------------------------------
+
+
+def _docs(spark: SparkSession, sf: str) -> DataFrame:
+    return B.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
+
+
+def _bm25(spark: SparkSession, sf: str) -> DataFrame:
+    return search.bm25(_docs(spark, sf), B.query_set(spark, sf), "id", T.spaced(F.col("text")), T.spaced(F.col("query")))
+
+
+def _fts(spark: SparkSession, sf: str) -> DataFrame:
+    queries, words = B.query_set(spark, sf), F.transform(T.search_terms(F.col("query")), lambda w: F.lower(w))
+    scored = search.bm25(_docs(spark, sf), queries, "id", T.tokens(F.col("text")), words, k1=1.2, floor=1e-6)
+    return search.all_terms(scored, queries, words)
+
+
+_BM25_SQL = _bm25_sql(SPACED.format("text"), SPACED.format("text"), 1.5, 0.75, None, False)
+_TERMS_SQL = "list_transform(list_filter(regexp_extract_all(text, '[A-Za-z0-9_]+'), lambda w: upper(w) NOT IN ('AND', 'OR', 'NOT', 'NEAR'))[1:20], lambda w: lower(w))"
+_FTS_SQL = _bm25_sql(TOKENS.format("text"), _TERMS_SQL, 1.2, 0.75, 1e-6, True)
+_TOP = "SELECT query_id, id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, id) AS rank FROM scored) WHERE rank <= 8"
+
+
+def _ranked(scored: DataFrame, k: int = 8) -> DataFrame:
+    return search.best(scored.withColumn("score", F.round("score", 6)), k, F.desc("score"), F.col("id")).select("query_id", "id", "score", "rank")
+
+
+@query("bm25_topk", f"{_BM25_SQL} {_TOP}")
+def bm25_topk(spark, sf):
+    return _ranked(_bm25(spark, sf))
+
+
+@query("bm25_fts_and", f"{_FTS_SQL} {_TOP}")
+def bm25_fts_and(spark, sf):
+    return _ranked(_fts(spark, sf))
+
+
+_FUSED_SQL = f"""{_BM25_SQL}, words AS (SELECT item_id AS query_id, list_distinct({TOKENS.format("text")}) AS q FROM benchmark),
+    held2 AS (SELECT doc_id AS id, unnest(list_distinct({TOKENS.format("text")})) AS term FROM documents),
+    overlap AS (SELECT w.query_id, h.id, count(*) / any_value(len(w.q)) AS score FROM (SELECT query_id, q, unnest(q) AS term FROM words) w JOIN held2 h USING (term) GROUP BY 1, 2),
+    one AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, id) AS r FROM scored),
+    two AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, id) AS r FROM overlap),
+    sizes AS (SELECT query_id, (SELECT count(*) FROM one o WHERE o.query_id = b.query_id) AS n1, (SELECT count(*) FROM two o WHERE o.query_id = b.query_id) AS n2 FROM (SELECT DISTINCT query_id FROM words) b),
+    fused AS (SELECT coalesce(one.query_id, two.query_id) AS query_id, coalesce(one.id, two.id) AS id,
+        CASE WHEN n1 > 0 THEN 1.0 / (60 + coalesce(one.r, n1 + 1)) ELSE 0 END + CASE WHEN n2 > 0 THEN 1.0 / (60 + coalesce(two.r, n2 + 1)) ELSE 0 END AS score
+        FROM one FULL JOIN two ON one.query_id = two.query_id AND one.id = two.id JOIN sizes s ON s.query_id = coalesce(one.query_id, two.query_id)),
+    pool AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM fused) WHERE rank <= 20)"""
+
+
+def _pool(spark, sf, k: int = 20) -> DataFrame:
+    overlap = search.overlap_search(B.query_set(spark, sf), _docs(spark, sf), 1 << 30).select("query_id", "id", "score")
+    channels = [c.withColumn("score", F.round("score", 6)) for c in (_bm25(spark, sf).select("query_id", "id", "score"), overlap)]
+    return search.best(search.fuse(channels), k, F.desc(F.round("score", 9)), F.col("id"))
+
+
+@query("rrf_fusion", f"{_FUSED_SQL} SELECT query_id, id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM pool")
+def rrf_fusion(spark, sf):
+    return _pool(spark, sf).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
+
+
+_NORM_SQL = "CASE WHEN max(score) OVER w > min(score) OVER w THEN (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) ELSE 1.0 END"
+
+
+@query("rrf_minmax_pool", f"{_FUSED_SQL} SELECT query_id, id, round({_NORM_SQL}, 6) AS norm, CAST(rank AS INTEGER) AS rank FROM pool WINDOW w AS (PARTITION BY query_id)")
+def rrf_minmax_pool(spark, sf):
+    return search.normalised(_pool(spark, sf)).select("query_id", "id", F.round("norm", 6).alias("norm"), "rank")
+
+
+_USAGE_SQL = f"0.5 * CASE WHEN last_accessed IS NULL THEN 0 ELSE pow(2.0, -greatest((epoch_us({NOW}) - epoch_us(last_accessed)) / 3.6e9, 0) / 168) END + 0.5 * least(1.0, ln(1 + coalesce(access_count, 0)) / ln(21))"
+_SIGNAL_SQL = f"""{_FUSED_SQL}, {RECORDS}, {TELEMETRY}, normed AS (SELECT query_id, id, rank, {_NORM_SQL} AS norm FROM pool WINDOW w AS (PARTITION BY query_id)),
+    signalled AS (SELECT n.query_id, n.id, n.rank, n.norm, {_USAGE_SQL} AS usage, CASE WHEN r.project = 'src0' THEN 1.0 ELSE 0.0 END AS scope, r.importance / 5.0 AS importance,
+        CASE WHEN EXISTS (SELECT 1 FROM normed s WHERE s.query_id = n.query_id AND s.rank <= 5 AND s.id <> n.id AND (s.id + 1 = n.id OR n.id + 1 = s.id)) THEN 1.0 ELSE 0.0 END AS link, r.created_at
+        FROM normed n JOIN records r ON r.doc_id = n.id LEFT JOIN telemetry t ON t.id = r.id)"""
+_BOOST_SQL = "norm * (1 + 0.15 * usage + 0.10 * scope + 0.10 * link + 0.10 * importance)"
+
+
+def _signals(spark, sf) -> DataFrame:
+    """Each record's neighbour by number stands for its links."""
+    records = B.records(spark, sf).withColumn("related", F.array(B.id8(F.col("doc_id") + 1)))
+    pool = search.normalised(_pool(spark, sf)).withColumn("id", B.id8(F.col("id")))
+    return search.signals(pool, records, B.telemetry(spark, sf), F.lit("src0"), B.now())
+
+
+def _number(ident):
+    return F.conv(ident, 16, 10).cast("long")
+
+
+@query("rerank_signals", f"{_SIGNAL_SQL} SELECT query_id, id, round(usage, 6) AS usage, scope, link, importance, round({_BOOST_SQL}, 6) AS boosted FROM signalled")
+def rerank_signals(spark, sf):
+    return _signals(spark, sf).select("query_id", _number(F.col("id")).alias("id"), F.round("usage", 6).alias("usage"), "scope", "link", "importance", F.round("boosted", 6).alias("boosted"))
+
+
+@query("temporal_boost", f"""{_SIGNAL_SQL}, boosted AS (SELECT query_id, id, round({_BOOST_SQL} * CASE WHEN created_at BETWEEN {NOW} - INTERVAL 14 DAY AND {NOW} - INTERVAL 7 DAY THEN 1.2 ELSE 1 END, 6) AS score FROM signalled)
+    SELECT query_id, id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank FROM boosted""")
+def temporal_boost(spark, sf):
+    window = rules.time_window(F.lit("what changed last week"), B.now())
+    j = _signals(spark, sf).join(B.records(spark, sf).select("id", "created_at"), "id").withColumn("w", window)
+    inside = (F.col("created_at") >= F.col("w.start")) & (F.col("created_at") <= F.col("w.end"))
+    j = j.select("query_id", _number(F.col("id")).alias("id"), F.round(F.col("boosted") * F.when(inside, 1.2).otherwise(1.0), 6).alias("score"))
+    return search.best(j, 1 << 30, F.desc("score"), F.col("id"))
+
+
+@query("mmr_rerank")
+def mmr_rerank(spark, sf):
+    pool = _pool(spark, sf).withColumnRenamed("rank", "r")
+    v = B.vectors(spark, sf).select("id", "vector")
+    return search.diversify(search.normalised(pool).drop("score").withColumnRenamed("norm", "score").join(v, "id", "left"))
+
+
+@query("cosine_topk", """WITH s AS (SELECT q.vec_id AS query_id, c.vec_id AS id, list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])) AS score
+    FROM embeddings q JOIN embeddings c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0)
+    SELECT query_id, id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM s) WHERE rank <= 10""")
+def cosine_topk(spark, sf):
+    v = B.vectors(spark, sf)
+    top = search.cosine_top(v.where("id % 100 = 0").select(F.col("id").alias("query_id"), "vector"), v.select("id", "vector"), 10)
+    return top.select("query_id", "id", F.round("score", 6).alias("score"), "rank")
+
+
+_PAIRS_SQL = """pairs AS (SELECT a.label AS project, a.vec_id AS a, b.vec_id AS b, list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS cosine
+    FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id)"""
+
+
+@query("vector_dedup_pairs", f"WITH {_PAIRS_SQL} SELECT project, a, b, round(cosine, 6) AS cosine FROM pairs WHERE round(cosine, 9) >= 0.4")
+def vector_dedup_pairs(spark, sf):
+    return consolidate.similar_pairs(B.vectors(spark, sf), 0.40).withColumn("cosine", F.round("cosine", 6))
+
+
+@query("cluster_mean_similarity", f"WITH {_PAIRS_SQL} SELECT project, count(*) AS pairs, round(avg(cosine), 6) AS mean FROM pairs GROUP BY project")
+def cluster_mean_similarity(spark, sf):
+    return consolidate.similar_pairs(B.vectors(spark, sf), -2.0).groupBy("project").agg(F.count("*").alias("pairs"), F.round(F.avg("cosine"), 6).alias("mean"))
+
+
+@query("greedy_clusters_summary")
+def greedy_clusters_summary(spark, sf):
+    v = B.vectors(spark, sf)
+    return consolidate.greedy_clusters(v, consolidate.similar_pairs(v, 0.30), 3, forward_only=False)
+
+
+@query("greedy_clusters_merge")
+def greedy_clusters_merge(spark, sf):
+    v = B.vectors(spark, sf)
+    return consolidate.greedy_clusters(v, consolidate.similar_pairs(v, 0.35), 2, forward_only=True)
+
+
+@query("literal_match", f"""WITH {RECORDS}, lits AS (SELECT page_id AS query_id, unnest(list_distinct(list_concat(regexp_extract_all(url, '\\bv\\d+\\.\\d+(?:\\.\\d+)?\\b'), regexp_extract_all(url, '\\d+')))) AS lit FROM pages),
+    found AS (SELECT DISTINCT l.query_id, r.id FROM lits l JOIN records r ON contains(lower(r.title || ' ' || r.essence), lower(l.lit)))
+    SELECT query_id, id, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY id) AS rank FROM found) WHERE rank <= 2""")
+def literal_match(spark, sf):
+    pages = B.table(spark, sf, "pages").select(F.col("page_id").alias("query_id"), "url")
+    lits = F.array_distinct(F.concat(F.regexp_extract_all("url", F.lit(rules.VERSION), F.lit(0)), F.regexp_extract_all("url", F.lit(r"\d+"), F.lit(0))))
+    return search.literal_hits(pages, B.records(spark, sf), lits)
+
+
+@query("word_overlap_search", f"""{_FUSED_SQL} SELECT query_id, id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM overlap) WHERE rank <= 8""")
+def word_overlap_search(spark, sf):
+    return search.overlap_search(B.query_set(spark, sf), _docs(spark, sf), 8).withColumn("score", F.round("score", 6))
+
+
+@query("valid_now_filter", f"WITH {RECORDS} SELECT id, project, importance FROM records WHERE status <> 'deprecated' AND invalid_at IS NULL")
+def valid_now_filter(spark, sf):
+    return store.valid_now(B.records(spark, sf)).select("id", "project", "importance")
+
+
+@query("scoped_scan", f"WITH {RECORDS} SELECT id, title, importance FROM records WHERE status <> 'deprecated' AND project = 'src3'")
+def scoped_scan(spark, sf):
+    return store.scoped(B.records(spark, sf), "src3").select("id", "title", "importance")
+
+
+@query("point_lookup", f"WITH {RECORDS}, keys AS (SELECT lpad(lower(to_hex(o_orderkey)), 8, '0') AS key FROM orders) SELECT k.key, r.id, r.title FROM keys k JOIN records r ON r.id = k.key")
+def point_lookup(spark, sf):
+    keys = B.table(spark, sf, "orders").select(B.id8(F.col("o_orderkey")).alias("key"))
+    return store.lookup(B.records(spark, sf), keys).select("key", "id", "title")
+
+
+# --- text and rules ---------------------------------------------------------------------------------------------------
+
+
+@query("word_sets", f"SELECT doc_id, len({_word_set_sql('text')}) AS words, len(list_distinct(regexp_extract_all(lower(text), '[a-z0-9_]{{3,}}'))) AS raw FROM documents")
+def word_sets(spark, sf):
+    d = B.table(spark, sf, "documents")
+    return d.select("doc_id", F.size(T.word_set(F.col("text"))).cast("long").alias("words"), F.size(T.raw_words(F.col("text"))).cast("long").alias("raw"))
+
+
+@query("lexical_containment", f"""WITH b AS (SELECT item_id, {_word_set_sql('text')} AS w FROM benchmark), d AS (SELECT doc_id, {_word_set_sql('text')} AS w FROM documents),
+    s AS (SELECT item_id, doc_id, CASE WHEN len(b.w) > 0 AND len(d.w) > 0 THEN len(list_intersect(b.w, d.w)) / least(len(b.w), len(d.w)) ELSE 0.0 END AS c FROM b, d)
+    SELECT item_id, doc_id, round(c, 6) AS containment FROM s WHERE round(c, 6) >= 0.6""")
+def lexical_containment(spark, sf):
+    b = B.table(spark, sf, "benchmark").select("item_id", T.word_set(F.col("text")).alias("b"))
+    d = B.table(spark, sf, "documents").select("doc_id", T.word_set(F.col("text")).alias("d"))
+    # Pairs meet on shared words; those without one contain nothing of each other.
+    sized_b = b.select("item_id", F.size("b").alias("nb"), F.explode("b").alias("word"))
+    sized_d = d.select("doc_id", F.size("d").alias("nd"), F.explode("d").alias("word"))
+    both = sized_b.join(sized_d, "word").groupBy("item_id", "doc_id").agg((F.count("*") / F.least(F.first("nb"), F.first("nd"))).alias("c"))
+    return both.where(F.round("c", 6) >= 0.6).select("item_id", "doc_id", F.round("c", 6).alias("containment"))
+
+
+@query("slugs_and_titles", f"SELECT doc_id, {TITLE.format('text')} AS title, substr(regexp_replace(regexp_replace(lower({TITLE.format('text')}), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g'), 1, 60) AS slug FROM documents")
+def slugs_and_titles(spark, sf):
+    title = T.title(F.col("text"))
+    return B.table(spark, sf, "documents").select("doc_id", title.alias("title"), T.slug(title).alias("slug"))
+
+
+@query("security_scan", "SELECT doc_id, CASE " + "WHEN regexp_matches(text, '[" + "".join(rules.INVISIBLE) + "]') THEN 'invisible_unicode' " + " ".join("WHEN regexp_matches(text, '(?i){0}') THEN '{1}'".format(p.replace("'", "''"), n) for p, n in rules.THREATS) + " END AS threat FROM documents")
+def security_scan(spark, sf):
+    return B.table(spark, sf, "documents").select("doc_id", rules.threat(F.col("text")).alias("threat"))
+
+
+@query("credential_scan", "SELECT doc_id, regexp_matches(text, '" + "|".join(rules.CREDENTIALS) + "') AS credential FROM documents")
+def credential_scan(spark, sf):
+    return B.table(spark, sf, "documents").select("doc_id", rules.has_credential(F.col("text")).alias("credential"))
+
+
+@query("pii_scrub")
+def pii_scrub(spark, sf):
+    d = B.table(spark, sf, "documents").select("doc_id", rules.scrub(F.col("text")).alias("scrubbed"))
+    return d.select("doc_id", F.sha2("scrubbed", 256).alias("hash"), F.regexp_count("scrubbed", F.lit(r"\[REDACTED_")).alias("redactions"))
+
+
+@query("tense_candidates", f"WITH {RECORDS} SELECT id, created_at FROM records WHERE created_at <= {NOW} - INTERVAL 30 DAY AND regexp_matches(essence, '(?i)\\b(will|plan(?:ning)?\\s+to|going\\s+to|next\\s+week|tomorrow|upcoming)\\b')")
+def tense_candidates(spark, sf):
+    return consolidate.tense_candidates(B.records(spark, sf), B.now(), most=None).select("id", "created_at")
+
+
+@query("trivial_turns", r"SELECT conv_id, turn, length(trim(coalesce(text, ''), ' ')) < 100 OR regexp_matches(regexp_replace(coalesce(text, ''), '(?im)^\s*(user|assistant):\s*', '', 'g'), '(?i)^\s*(ok|yes|go|thanks|sure|nope|no)\s*\.?\s*$') AS trivial FROM conversations")
+def trivial_turns(spark, sf):
+    return B.table(spark, sf, "conversations").select("conv_id", "turn", rules.is_trivial(F.col("text")).alias("trivial"))
+
+
+# --- graph ------------------------------------------------------------------------------------------------------------
+
+
+def _graph_records(spark, sf) -> DataFrame:
+    r = B.records(spark, sf).withColumn("related", F.array(B.id8(F.col("doc_id") + 1))).withColumn("contradicts", F.when(F.col("doc_id") % 50 == 0, F.array(B.id8(F.col("doc_id") + 3))).otherwise(F.array().cast("array<string>")))
+    return r.withColumn("session", F.concat(F.lit("s"), F.floor(F.col("doc_id") / 10).cast("string"))).where("status <> 'deprecated'")
+
+
+_GRAPH_SQL = f"""WITH {RECORDS}, live AS (SELECT *, title || ' ' || essence AS body, lpad(lower(to_hex(doc_id + 1)), 8, '0') AS related, CASE WHEN doc_id % 50 = 0 THEN lpad(lower(to_hex(doc_id + 3)), 8, '0') END AS contradicts,
+        's' || CAST(doc_id // 10 AS VARCHAR) AS session FROM records WHERE status <> 'deprecated'),
+    held AS (SELECT DISTINCT id, token, w FROM (SELECT id, unnest(list_distinct(regexp_extract_all(lower(body), '[a-z0-9_]{{3,}}'))) AS token, 1 AS w FROM live
+        UNION ALL SELECT id, '#' || lower(unnest(tags)), 6 FROM live UNION ALL SELECT id, '@' || session, 8 FROM live)),
+    useful AS (SELECT token FROM held GROUP BY token HAVING count(*) BETWEEN 2 AND 250),
+    shared AS (SELECT a.id AS src, b.id AS dst, a.w FROM held a JOIN useful USING (token) JOIN held b USING (token) WHERE a.id <> b.id
+        UNION ALL SELECT l.id, x.dst, 30 FROM live l, LATERAL (SELECT DISTINCT unnest([l.related, l.contradicts]) AS dst) x WHERE x.dst <> l.id AND x.dst IN (SELECT id FROM live)),
+    weighed AS (SELECT src, dst, CAST(sum(w) AS BIGINT) AS weight FROM shared GROUP BY 1, 2),
+    cand AS (SELECT src, dst, weight FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY weight DESC, dst) AS n FROM weighed) WHERE n <= 64)"""
+
+
+@query("graph_candidates", f"{_GRAPH_SQL} SELECT src, dst, weight FROM cand")
+def graph_candidates(spark, sf):
+    return graph.candidates(graph.features(_graph_records(spark, sf)))
+
+
+def _edges(spark, sf) -> DataFrame:
+    """No oracle: list intersections of 64 candidates a record take SQL minutes on whole tables; tested by brute force."""
+    features = graph.features(_graph_records(spark, sf))
+    return graph.edges(graph.score_pairs(graph.candidates(features), features))
+
+
+@query("graph_edges")
+def graph_edges(spark, sf):
+    return _edges(spark, sf).withColumn("score", F.round("score", 6))
+
+
+@query("graph_stats")
+def graph_stats(spark, sf):
+    return _edges(spark, sf).groupBy("relation").agg(F.count("*").alias("edges"), F.round(F.avg("score"), 6).alias("mean"))
+
+
+@query("graph_neighbors")
+def graph_neighbors(spark, sf):
+    return graph.neighbours(_edges(spark, sf), 3, 0.3).select("src", "dst", "relation", "rank")
+
+
+@query("graph_two_hop")
+def graph_two_hop(spark, sf):
+    seeds = _graph_records(spark, sf).where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), "id")
+    return graph.expand(seeds, _edges(spark, sf)).select("query_id", "id", "hop", "place")
+
+
+@query("graph_audit")
+def graph_audit(spark, sf):
+    return graph.audit(_edges(spark, sf), _graph_records(spark, sf))
+
+
+# --- dedup, store, decay ----------------------------------------------------------------------------------------------
+
+
+def _best_by_words(spark, sf) -> DataFrame:
+    """For each conversation turn the document with which it shares the largest part of its words."""
+    turns = B.table(spark, sf, "conversations").select(F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("query_id"), F.col("text").alias("query"))
+    return search.overlap_search(turns, _docs(spark, sf), 1)
+
+
+_BEST_SQL = f"""WITH t AS (SELECT conv_id || '-' || turn AS query_id, list_distinct({TOKENS.format("text")}) AS q FROM conversations),
+    h AS (SELECT doc_id AS id, unnest(list_distinct({TOKENS.format("text")})) AS term FROM documents),
+    s AS (SELECT t.query_id, h.id, count(*) / any_value(len(t.q)) AS score FROM (SELECT query_id, q, unnest(q) AS term FROM t) t JOIN h USING (term) GROUP BY 1, 2),
+    best AS (SELECT query_id, id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS n FROM s) WHERE n = 1)"""
+
+
+@query("dedup_bands", f"{_BEST_SQL} SELECT query_id, id, round(score, 6) AS score, CASE WHEN score >= 0.92 THEN 'reject' WHEN score >= 0.70 THEN 'merge' ELSE 'insert' END AS band FROM best")
+def dedup_bands(spark, sf):
+    return _best_by_words(spark, sf).select("query_id", "id", F.round("score", 6).alias("score"), S.band(F.col("score")).alias("band"))
+
+
+@query("three_band_save", f"{_BEST_SQL} SELECT CASE WHEN score >= 0.92 THEN 'reject' WHEN score >= 0.70 THEN 'merge' ELSE 'insert' END AS band, count(*) AS rows, round(avg(score), 6) AS mean FROM best GROUP BY 1")
+def three_band_save(spark, sf):
+    return dedup_bands(spark, sf).groupBy("band").agg(F.count("*").alias("rows"), F.round(F.avg("score"), 6).alias("mean"))
+
+
+@query("contradiction_pairs", f"""WITH {RECORDS}, live AS (SELECT id, lpad(lower(to_hex(doc_id + 3)), 8, '0') AS other FROM records WHERE status <> 'deprecated' AND invalid_at IS NULL AND doc_id % 50 = 0),
+    ok AS (SELECT id FROM records WHERE status <> 'deprecated' AND invalid_at IS NULL) SELECT DISTINCT least(l.id, o.id) AS a, greatest(l.id, o.id) AS b FROM live l JOIN ok o ON o.id = l.other""")
+def contradiction_pairs(spark, sf):
+    return consolidate.contradiction_pairs(_graph_records(spark, sf))
+
+
+_ACCESS_SQL = f"{RECORDS}, {TELEMETRY}, j AS (SELECT r.*, t.access_count, t.last_accessed, coalesce(t.access_count, 0) AS n, greatest((epoch_us({NOW}) - epoch_us(coalesce(t.last_accessed, r.created_at))) / 3.6e9, 0) AS h FROM records r LEFT JOIN telemetry t USING (id))"
+_STRENGTH_SQL = "(0.6 + 0.2 * (importance - 1)) * exp(-h * ln(2) / (720 * (1 + 0.5 * n * CASE WHEN n <= 5 THEN 1.0 WHEN n <= 20 THEN 1 - 0.5 * (n - 5) / 15 ELSE 0.5 / (1 + ln(1 + n - 20)) END)))"
+
+
+def _with_access(spark, sf) -> DataFrame:
+    return B.records(spark, sf).join(B.telemetry(spark, sf), "id", "left")
+
+
+@query("decay_strength", f"WITH {_ACCESS_SQL} SELECT id, round({_STRENGTH_SQL}, 6) AS strength FROM j")
+def decay_strength(spark, sf):
+    last = F.coalesce("last_accessed", "created_at")
+    return _with_access(spark, sf).select("id", F.round(S.strength(F.col("importance"), F.col("access_count"), last, B.now()), 6).alias("strength"))
+
+
+_CITED_SQL = f"{CALLS}, cites AS (SELECT lpad(lower(to_hex(cited)), 8, '0') AS id, ts FROM calls WHERE call_type = 'click'), counts AS (SELECT id, count(*) AS n FROM cites WHERE ts >= {NOW} - INTERVAL 14 DAY AND ts <= {NOW} GROUP BY id)"
+_SCORE_SQL = "CASE WHEN (SELECT count(*) FROM cites) > 0 THEN least(1.0, coalesce(c.n, 0) / 3.0) END"
+
+
+def _attribution(spark, sf) -> DataFrame:
+    cites = B.calls(spark, sf).where("call_type = 'click'").select(B.id8(F.col("cited")).alias("id"), "ts")
+    return consolidate.attribution(cites, B.records(spark, sf).select("id"), B.now())
+
+
+@query("attribution_score", f"WITH {RECORDS}, {_CITED_SQL} SELECT r.id, round({_SCORE_SQL}, 6) AS score FROM records r LEFT JOIN counts c USING (id)")
+def attribution_score(spark, sf):
+    return _attribution(spark, sf).withColumn("score", F.round("score", 6))
+
+
+@query("demotion_candidates", f"""WITH {_ACCESS_SQL}, {_CITED_SQL}, s AS (SELECT j.id, j.layer, {_STRENGTH_SQL} AS strength, coalesce({_SCORE_SQL}, 0) AS cited FROM j LEFT JOIN counts c USING (id))
+    SELECT id, round(strength, 6) AS strength, layer, coalesce(layer, 2) + 1 AS suggested FROM s WHERE round(strength, 9) < 0.6 AND coalesce(layer, 2) BETWEEN 1 AND 2 AND cited < 0.2""")
+def demotion_candidates(spark, sf):
+    return consolidate.demotions(B.records(spark, sf), B.telemetry(spark, sf), _attribution(spark, sf), B.now(), floor=0.6).withColumn("strength", F.round("strength", 6))
+
+
+@query("bitemporal_upsert", f"""WITH old AS (SELECT o_orderkey AS id, o_orderpriority AS title, o_orderstatus AS essence, [o_orderpriority] AS tags, o_orderdate AS valid_at FROM orders),
+    last AS (SELECT id, title, essence, tags FROM (SELECT l_orderkey AS id, l_returnflag AS title, l_linestatus || l_partkey AS essence, [l_returnflag, l_linestatus] AS tags,
+        row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate DESC, l_linestatus || l_partkey DESC) AS n FROM lineitem) WHERE n = 1)
+    SELECT coalesce(o.id, l.id) AS id, coalesce(l.title, o.title) AS title, coalesce(l.essence, o.essence) AS essence,
+        array_to_string(list_concat(coalesce(o.tags, []), list_filter(CASE WHEN l.tags[1] = l.tags[2] THEN [l.tags[1]] ELSE coalesce(l.tags, []) END, lambda x: NOT list_contains(coalesce(o.tags, []), x))), ',') AS tags,
+        coalesce(o.valid_at, {NOW}) AS valid_at, l.id IS NOT NULL AS changed FROM old o FULL JOIN last l ON o.id = l.id""")
+def bitemporal_upsert(spark, sf):
+    o, li = B.table(spark, sf, "orders"), B.table(spark, sf, "lineitem")
+    old = o.select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("title"), F.col("o_orderstatus").alias("essence"), F.array("o_orderpriority").alias("tags"), F.col("o_orderdate").alias("valid_at"), F.col("o_orderdate").alias("updated_at"))
+    new = li.select(F.col("l_orderkey").alias("id"), F.col("l_returnflag").alias("title"), F.concat("l_linestatus", F.col("l_partkey").cast("string")).alias("essence"), F.array("l_returnflag", "l_linestatus").alias("tags"), F.col("l_shipdate").alias("updated_at"))
+    out = store.upsert(old, new, B.now())
+    return out.select("id", "title", "essence", F.array_join("tags", ",").alias("tags"), "valid_at", (F.col("updated_at") == B.now()).alias("changed"))
+
+
+_VERSIONS_SQL = "SELECT o_custkey AS id, o_orderkey AS version, o_orderdate AS valid_at, lead(o_orderdate) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS invalid_at FROM orders"
+
+
+@query("asof_snapshot", f"SELECT id, version FROM ({_VERSIONS_SQL}) WHERE valid_at <= TIMESTAMP '1996-06-30' AND (invalid_at IS NULL OR invalid_at > TIMESTAMP '1996-06-30')")
+def asof_snapshot(spark, sf):
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    versions = B.table(spark, sf, "orders").select(F.col("o_custkey").alias("id"), F.col("o_orderkey").alias("version"), F.col("o_orderdate").alias("valid_at"), F.lead("o_orderdate").over(w).alias("invalid_at"))
+    return store.as_of(versions, F.lit("1996-06-30").cast("timestamp_ntz")).select("id", "version")
+
+
+@query("reconcile_ops", """WITH d AS (SELECT user_id AS session, event_id AS idx, CASE event_type WHEN 'click' THEN 'UPDATE' WHEN 'view' THEN 'NOOP' WHEN 'purchase' THEN 'SUPERSEDE' WHEN 'signup' THEN 'PROFILE' ELSE 'ADD' END AS op,
+        CAST(json_extract(props, '$.k') AS BIGINT) AS target, repeat('x', CAST(floor(value) AS INTEGER)) AS content, value < 20 AS valid FROM events),
+    t AS (SELECT d.doc_id AS target, CASE WHEN l.quality = 0 THEN 'deprecated' ELSE 'active' END AS status, d.doc_id % 4 = 0 AS protected, length(d.text) AS len FROM documents d LEFT JOIN labels l USING (doc_id)),
+    n AS (SELECT d.*, t.status, t.protected, t.len, row_number() OVER (PARTITION BY session, op ORDER BY idx) AS nth FROM d LEFT JOIN t USING (target))
+    SELECT session, idx AS "index", op, target, CASE WHEN op = 'NOOP' THEN 'noop' WHEN op = 'PROFILE' THEN CASE WHEN valid AND nth <= 5 THEN 'profile' ELSE 'noop' END
+        WHEN op = 'UPDATE' THEN CASE WHEN coalesce(status = 'active' AND NOT protected AND NOT (length(content) < 10 OR length(content) < 0.3 * len), false) THEN 'update' ELSE 'add' END
+        WHEN op = 'SUPERSEDE' THEN CASE WHEN coalesce(status = 'active' AND NOT protected, false) AND nth <= 3 THEN 'supersede' ELSE 'add' END ELSE 'add' END AS effect FROM n""")
+def reconcile_ops(spark, sf):
+    e = B.table(spark, sf, "events")
+    op = F.when(F.col("event_type") == "click", "UPDATE").when(F.col("event_type") == "view", "NOOP").when(F.col("event_type") == "purchase", "SUPERSEDE").when(F.col("event_type") == "signup", "PROFILE").otherwise("ADD")
+    decisions = e.select(F.col("user_id").alias("session"), F.col("event_id").alias("index"), op.alias("op"), F.get_json_object("props", "$.k").cast("long").alias("target"), F.repeat(F.lit("x"), F.floor("value").cast("int")).alias("content"), (F.col("value") < 20).alias("valid"))
+    targets = B.records(spark, sf).select(F.col("doc_id").alias("id"), "status", (F.col("doc_id") % 4 == 0).alias("protected"), "essence")
+    return store.reconcile(decisions, targets).select("session", "index", "op", "target", "effect")
+
+
+@query("project_hash", "SELECT source AS project, sha256(array_to_string(list_sort(list(lpad(lower(to_hex(doc_id)), 8, '0') || ':' || text || chr(10))), '')) AS source_hash, count(*) AS records FROM documents GROUP BY source")
+def project_hash(spark, sf):
+    return store.content_hash(B.records(spark, sf))
+
+
+# --- analytics --------------------------------------------------------------------------------------------------------
+
+
+@query("recall_by_type", f"WITH {CALLS} SELECT call_type, count(*) AS calls FROM calls GROUP BY 1")
+def recall_by_type(spark, sf):
+    return analytics.calls_by(B.calls(spark, sf), "call_type")
+
+
+@query("calls_per_day", f"WITH {CALLS} SELECT CAST(ts AS DATE) AS day, call_type, count(*) AS calls FROM calls GROUP BY 1, 2")
+def calls_per_day(spark, sf):
+    return analytics.calls_by(B.calls(spark, sf), F.to_date("ts").alias("day"), "call_type")
+
+
+@query("median_latency", f"WITH {CALLS} SELECT call_type, CAST(floor(quantile_cont(latency_ms, 0.5)) AS BIGINT) AS median_ms, count(*) AS calls FROM calls GROUP BY 1")
+def median_latency(spark, sf):
+    return analytics.median_latency(B.calls(spark, sf), "call_type")
+
+
+@query("citation_rate", f"WITH {CALLS}, r AS (SELECT DISTINCT call_type, returned AS id FROM calls), c AS (SELECT DISTINCT call_type, cited AS id FROM calls) SELECT r.call_type, count(*) AS returned, CAST(sum(CASE WHEN c.id IS NULL THEN 0 ELSE 1 END) AS BIGINT) AS cited, round(avg(CASE WHEN c.id IS NULL THEN 0 ELSE 1 END), 6) AS rate FROM r LEFT JOIN c USING (call_type, id) GROUP BY 1")
+def citation_rate(spark, sf):
+    return analytics.citation_rate(B.calls(spark, sf))
+
+
+@query("top_cited", f"WITH {CALLS} SELECT cited, count(*) AS times FROM calls GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5")
+def top_cited(spark, sf):
+    return analytics.top(B.calls(spark, sf), "cited", 5)
+
+
+@query("ema_relevance", "WITH RECURSIVE e AS (SELECT user_id, CASE event_type WHEN 'purchase' THEN 1.0 WHEN 'error' THEN -1.0 ELSE 0.0 END AS o, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n, count(*) OVER (PARTITION BY user_id) AS total FROM events) SELECT user_id, round(sum(0.3 * o * pow(0.7, total - n)), 6) AS score FROM e GROUP BY user_id")
+def ema_relevance(spark, sf):
+    e = B.table(spark, sf, "events").withColumn("outcome", F.when(F.col("event_type") == "purchase", 1.0).when(F.col("event_type") == "error", -1.0).otherwise(0.0))
+    return analytics.ema(e, "user_id").withColumn("score", F.round("score", 6))
+
+
+_HITS_SQL = lambda patterns: " + ".join("len(regexp_extract_all(text, '{}'))".format(p.replace("'", "''")) for p in patterns)
+
+
+@query("session_outcome", f"""WITH t AS (SELECT * FROM (SELECT conv_id AS session, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM conversations WHERE role = 'user') WHERE back <= 10),
+    h AS (SELECT session, count(*) AS n, sum({_HITS_SQL(rules.POSITIVE)}) AS p, sum({_HITS_SQL(rules.NEGATIVE)}) AS q FROM t GROUP BY 1)
+    SELECT session, round(CASE WHEN n < 2 OR p + q = 0 THEN 0.0 ELSE (p - q) / (p + q) END, 6) AS outcome FROM h""")
+def session_outcome(spark, sf):
+    t = sessions.tail(B.turns(spark, sf).where("role = 'user'"), "session", "pos", 10)
+    h = t.groupBy("session").agg(F.count("*").alias("n"), F.sum(rules.hits(F.col("text"), rules.POSITIVE)).alias("p"), F.sum(rules.hits(F.col("text"), rules.NEGATIVE)).alias("q"))
+    return h.select("session", F.round(S.outcome(F.col("p"), F.col("q"), F.col("n")), 6).alias("outcome"))
+
+
+_FIRST_SQL = f"{_BM25_SQL}, ranked AS ({_TOP})"
+
+
+@query("jaccard_at_k", f"""{_FUSED_SQL}, b AS (SELECT query_id, list(id ORDER BY rank) AS old FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, id) AS rank FROM scored) WHERE rank <= 10 GROUP BY 1),
+    c AS (SELECT query_id, list(id ORDER BY rank) AS new FROM pool WHERE rank <= 10 GROUP BY 1)
+    SELECT query_id, round(len(list_intersect(old[1:5], new[1:5])) / len(list_distinct(list_concat(old[1:5], new[1:5]))), 6) AS jaccard, old[1] = new[1] AS top_stable FROM b JOIN c USING (query_id)""")
+def jaccard_at_k(spark, sf):
+    old, new = analytics.rankings(_ranked(_bm25(spark, sf), 10), 10), analytics.rankings(_pool(spark, sf), 10)
+    return analytics.replay(old, new, 5).select("query_id", F.round("jaccard", 6).alias("jaccard"), "top_stable")
+
+
+@query("benchmark_precision", f"""{_FIRST_SQL}, good AS (SELECT r.query_id, contains(d.text, b.text) AS good FROM ranked r JOIN documents d ON d.doc_id = r.id JOIN benchmark b ON b.item_id = r.query_id)
+    SELECT query_id, count(*) AS hits, CAST(sum(CASE WHEN good THEN 1 ELSE 0 END) AS BIGINT) AS good, round(avg(CASE WHEN good THEN 1 ELSE 0 END), 6) AS precision FROM good GROUP BY ROLLUP (query_id)""")
+def benchmark_precision(spark, sf):
+    hits = _ranked(_bm25(spark, sf)).join(_docs(spark, sf), "id").select("query_id", "text")
+    expected = B.query_set(spark, sf).select("query_id", F.array("query").alias("keywords"))
+    return analytics.precision(hits, expected, "query_id")
+
+
+# --- turns and sessions -----------------------------------------------------------------------------------------------
+
+
+@query("turn_pairs", """WITH t AS (SELECT conv_id AS session, turn, role, text, coalesce(lag(role) OVER (PARTITION BY conv_id ORDER BY turn), 'assistant') AS before FROM conversations WHERE role IN ('user', 'assistant') AND trim(coalesce(text, '')) <> ''),
+    p AS (SELECT *, sum(CASE WHEN role = 'user' AND before = 'assistant' THEN 1 ELSE 0 END) OVER (PARTITION BY session ORDER BY turn) AS pair FROM t)
+    SELECT session, CAST(pair AS BIGINT) AS pair, coalesce(string_agg(text, chr(10) ORDER BY turn) FILTER (WHERE role = 'user'), '') AS user_text, coalesce(string_agg(text, chr(10) ORDER BY turn) FILTER (WHERE role = 'assistant'), '') AS assistant_text FROM p WHERE pair > 0 GROUP BY 1, 2""")
+def turn_pairs(spark, sf):
+    return sessions.turn_pairs(B.turns(spark, sf))
+
+
+@query("char_budget", "SELECT conv_id AS session, turn AS pos, CAST(used AS BIGINT) AS used FROM (SELECT *, sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS used FROM conversations) WHERE used <= 1500")
+def char_budget(spark, sf):
+    t = B.turns(spark, sf)
+    return sessions.within_budget(t, "session", F.length("text"), 1500, F.col("pos")).select("session", "pos", F.col("used").cast("long").alias("used"))
+
+
+@query("digest_budget")
+def digest_budget(spark, sf):
+    return sessions.fitting(B.turns(spark, sf), "session", 600, "pos", "text").select("session", F.size("kept").alias("lines"), "used", "dropped")
+
+
+@query("first_seen_paths", """WITH p AS (SELECT page_id, unnest(regexp_extract_all(url, '/[a-z0-9]+')) AS path FROM pages)
+    SELECT path, min(page_id) AS first_page, count(*) AS times FROM p GROUP BY path""")
+def first_seen_paths(spark, sf):
+    p = B.table(spark, sf, "pages").select("page_id", F.explode(F.regexp_extract_all("url", F.lit("/[a-z0-9]+"), F.lit(0))).alias("path"))
+    return p.groupBy("path").agg(F.min("page_id").alias("first_page"), F.count("*").alias("times"))
+
+
+@query("sessionize_events", """WITH e AS (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events),
+    n AS (SELECT *, sum(CASE WHEN before IS NULL OR epoch_us(ts) - epoch_us(before) > 1800000000 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS session_no FROM e)
+    SELECT user_id, CAST(session_no AS BIGINT) AS session_no, min(ts) AS started, max(ts) AS ended, count(*) AS events FROM n GROUP BY 1, 2""")
+def sessionize_events(spark, sf):
+    return sessions.sessionize(B.table(spark, sf, "events"), "user_id", "ts")
+
+
+@query("timeline_window", """WITH a AS (SELECT user_id AS anchor, max(ts) AS at FROM events WHERE event_type = 'purchase' GROUP BY 1),
+    c AS (SELECT a.anchor, e.event_id AS id, CASE WHEN e.ts < a.at THEN 'before' ELSE 'after' END AS side, e.ts FROM events e JOIN a ON a.anchor = e.user_id)
+    SELECT anchor, id, side, CAST(place AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY anchor, side ORDER BY CASE WHEN side = 'before' THEN -epoch_us(ts) ELSE epoch_us(ts) END, id) AS place FROM c) WHERE place <= CASE WHEN side = 'before' THEN 5 ELSE 3 END""")
+def timeline_window(spark, sf):
+    e = B.table(spark, sf, "events")
+    anchors = e.where("event_type = 'purchase'").groupBy(F.col("user_id").alias("anchor")).agg(F.max("ts").alias("at"))
+    return sessions.timeline(anchors, e.select(F.col("user_id").alias("anchor"), F.col("event_id").alias("id"), "ts"), 5, 3).select("anchor", "id", "side", "place")
+
+
+@query("import_sections", r"""WITH s AS (SELECT page_id AS id, regexp_split_to_array(html, '(?i)<h[1-3][^>]*>') AS parts FROM pages), p AS (SELECT id, unnest(range(1, len(parts))) AS section, parts FROM s),
+    q AS (SELECT id, section, regexp_split_to_array(parts[section + 1], '(?i)</h[1-3]>') AS x FROM p),
+    r AS (SELECT id, section, trim(regexp_replace(regexp_replace(x[1], '<[^>]*>', ' ', 'gs'), '\s+', ' ', 'g')) AS heading, substr(trim(regexp_replace(regexp_replace(coalesce(array_to_string(x[2:], '</h1>'), ''), '<[^>]*>', ' ', 'gs'), '\s+', ' ', 'g')), 1, 2000) AS body FROM q)
+    SELECT id, CAST(section AS INTEGER) AS section, heading, body FROM r WHERE length(body) > 20""")
+def import_sections(spark, sf):
+    return sessions.sections(B.table(spark, sf, "pages"), "page_id", "html")
+
+
+@query("layer_summary", f"WITH {RECORDS} SELECT project, coalesce(layer, 2) AS layer, count(*) AS records FROM records GROUP BY 1, 2")
+def layer_summary(spark, sf):
+    return B.records(spark, sf).groupBy("project", F.coalesce("layer", F.lit(2)).cast("long").alias("layer")).agg(F.count("*").alias("records"))
+
+
+@query("source_counts", f"WITH {RECORDS} SELECT status, count(*) AS records, count(DISTINCT project) AS projects, CAST(sum(CASE WHEN importance = 5 THEN 1 ELSE 0 END) AS BIGINT) AS important FROM records GROUP BY 1")
+def source_counts(spark, sf):
+    return B.records(spark, sf).groupBy("status").agg(F.count("*").alias("records"), F.countDistinct("project").alias("projects"), F.count_if(F.col("importance") == 5).alias("important"))
+
+
+# --- relational coverage ----------------------------------------------------------------------------------------------
+
+
+@query("rollup_totals", "SELECT l_returnflag, l_linestatus, count(*) AS lines, round(sum(l_quantity), 2) AS quantity, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)")
+def rollup_totals(spark, sf):
+    li = B.table(spark, sf, "lineitem")
+    return li.rollup("l_returnflag", "l_linestatus").agg(F.count("*").alias("lines"), F.round(F.sum("l_quantity"), 2).alias("quantity"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"))
+
+
+@query("star_join", """SELECT r_name, n_name, count(*) AS lines, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
+    JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE o_orderdate >= TIMESTAMP '1995-01-01' GROUP BY 1, 2""")
+def star_join(spark, sf):
+    t = lambda name: B.table(spark, sf, name)
+    j = t("lineitem").join(t("orders").where(F.col("o_orderdate") >= F.lit("1995-01-01").cast("timestamp_ntz")), F.col("l_orderkey") == F.col("o_orderkey"))
+    j = j.join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return j.groupBy("r_name", "n_name").agg(F.count("*").alias("lines"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"))
+
+
+@query("semi_anti", """SELECT c_mktsegment, CAST(sum(CASE WHEN c_custkey IN (SELECT o_custkey FROM orders) THEN 1 ELSE 0 END) AS BIGINT) AS buyers, CAST(sum(CASE WHEN c_custkey NOT IN (SELECT o_custkey FROM orders) THEN 1 ELSE 0 END) AS BIGINT) AS others FROM customer GROUP BY 1""")
+def semi_anti(spark, sf):
+    c, o = B.table(spark, sf, "customer"), B.table(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    buyers = c.join(o, "c_custkey", "left_semi").select("c_mktsegment", F.lit(1).alias("b"), F.lit(0).alias("a"))
+    others = c.join(o, "c_custkey", "left_anti").select("c_mktsegment", F.lit(0).alias("b"), F.lit(1).alias("a"))
+    return buyers.unionByName(others).groupBy("c_mktsegment").agg(F.sum("b").alias("buyers"), F.sum("a").alias("others"))
