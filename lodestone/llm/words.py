@@ -102,7 +102,7 @@ def runs(hashes: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray, np.
     return mix(total + width.astype(U64), 1), np.concatenate([begin, [out.sum()]])
 
 
-def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 1_000_000) -> Iterator[pa.RecordBatch]:
     """The batch in parts of limited text volume; a longer text is a part of its own. No text is cut."""
     sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0), np.int64)
     total, start = 0, 0
