@@ -26,7 +26,7 @@ from lodestone.llm import features, words
 from lodestone.llm.tables import Workspace
 from lodestone.llm.words import U64
 
-MOST_LABELLED, FEATURES, FOLDS, LEAST_DOCS, PENALTY = 20_000, 2048, 5, 2, 1.0
+MOST_LABELLED, FEATURES, FOLDS, LEAST_DOCS, PENALTY = 10_000, 2048, 5, 2, 1.0
 #: The least chi-squared value of a feature: below it some of the many candidates are associated by chance.
 SIGNIFICANT = 24.0
 #: Lengths in bytes of the word beginnings that are features besides whole words.
@@ -78,7 +78,7 @@ class Linear:
     def decide(self, rows: np.ndarray, columns: np.ndarray, dense: np.ndarray) -> np.ndarray:
         return np.bincount(rows, self.w[columns], len(dense)) + dense @ self.v + self.b
 
-    def fit(self, rows: np.ndarray, columns: np.ndarray, dense: np.ndarray, y: np.ndarray, steps: int = 12) -> Linear:
+    def fit(self, rows: np.ndarray, columns: np.ndarray, dense: np.ndarray, y: np.ndarray, steps: int = 8) -> Linear:
         n, p = len(y), len(self.w)
         if n == 0 or y.min() == y.max():
             share = np.clip(y.mean() if n else 0.0, 1e-4, 1 - 1e-4)
@@ -103,21 +103,21 @@ class Linear:
             way = scale * rest
             power = rest @ way
             first = power
-            for _ in range(30):
+            for _ in range(12):
                 bent = back(curve * times(way)) + ridge * way
                 size = power / max(way @ bent, 1e-300)
                 step += size * way
                 rest -= size * bent
                 turned = scale * rest
                 power, old = rest @ turned, power
-                if power < 1e-6 * first:
+                if power < 1e-3 * first:
                     break
                 way = turned + power / old * way
             now, length, move = loss(x, z), 1.0, times(step)
             while length > 1e-3 and loss(x + length * step, z + length * move) > now:
                 length /= 2
             x, z = x + length * step, z + length * move
-            if now - loss(x, z) < 1e-6 * abs(now):
+            if now - loss(x, z) < 1e-4 * abs(now):
                 break
         self.w, self.v, self.b = x[:p], x[p:-1], float(x[-1])
         return self
