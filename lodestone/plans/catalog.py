@@ -417,7 +417,8 @@ def attribution_score(spark, sf):
     return _attribution(spark, sf).withColumn("score", F.round("score", 6))
 
 
-@query("demotion_candidates", f"""WITH {_ACCESS_SQL}, {_CITED_SQL}, s AS (SELECT j.id, j.layer, {_STRENGTH_SQL} AS strength, coalesce({_SCORE_SQL}, 0) AS cited FROM j LEFT JOIN counts c USING (id))
+@query("demotion_candidates", f"""WITH {_ACCESS_SQL}, {_CITED_SQL}, f AS (SELECT id, layer, {_STRENGTH_SQL} AS strength FROM j),
+    s AS (SELECT f.*, coalesce({_SCORE_SQL}, 0) AS cited FROM f LEFT JOIN counts c USING (id))
     SELECT id, round(strength, 6) AS strength, layer, coalesce(layer, 2) + 1 AS suggested FROM s WHERE round(strength, 9) < 0.6 AND coalesce(layer, 2) BETWEEN 1 AND 2 AND cited < 0.2""")
 def demotion_candidates(spark, sf):
     return consolidate.demotions(B.records(spark, sf), B.telemetry(spark, sf), _attribution(spark, sf), B.now(), floor=0.6).withColumn("strength", F.round("strength", 6))
