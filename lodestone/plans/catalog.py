@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import rules
 from lodestone.functions import scoring as S
 from lodestone.functions import text as T
-from lodestone.operators import analytics, consolidate, graph, search, sessions, store
+from lodestone.operators import analytics, consolidate, graph, maintenance, search, sessions, store
 from lodestone.sources import bindings as B
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -621,3 +621,38 @@ def semi_anti(spark, sf):
     buyers = c.join(o, "c_custkey", "left_semi").select("c_mktsegment", F.lit(1).alias("b"), F.lit(0).alias("a"))
     others = c.join(o, "c_custkey", "left_anti").select("c_mktsegment", F.lit(0).alias("b"), F.lit(1).alias("a"))
     return buyers.unionByName(others).groupBy("c_mktsegment").agg(F.sum("b").alias("buyers"), F.sum("a").alias("others"))
+
+
+# --- upkeep -----------------------------------------------------------------------------------------------------------
+
+
+@query("layer_batches", f"WITH {RECORDS} SELECT id, project, CAST((row_number() OVER (PARTITION BY project ORDER BY id) - 1) // 20 AS BIGINT) AS batch FROM records")
+def layer_batches(spark, sf):
+    return maintenance.batches(B.records(spark, sf), "project", 20).select("id", "project", "batch")
+
+
+@query("index_lines", f"""WITH {RECORDS} SELECT project, count(*) AS records, string_agg('- [' || title || '] (' || id || ', ' || strftime(created_at, '%Y-%m-%d') || ')', chr(10) ORDER BY strftime(created_at, '%Y-%m-%d') DESC, id DESC) AS lines FROM records GROUP BY project""")
+def index_lines(spark, sf):
+    return maintenance.index_lines(B.records(spark, sf))
+
+
+@query("purge_plan", f"WITH {RECORDS} SELECT id FROM records WHERE (contains(lower(title || ' ' || essence), 'token = ') OR contains(lower(title || ' ' || essence), '@mail')) AND doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1)")
+def purge_plan(spark, sf):
+    keep = B.table(spark, sf, "labels").where("quality = 1").select(B.id8(F.col("doc_id")).alias("id"))
+    return maintenance.purge_plan(B.records(spark, sf), ("token = ", "@mail"), keep)
+
+
+@query("access_counts", "SELECT user_id, count(*) AS access_count, max(ts) AS last_accessed FROM events GROUP BY 1")
+def access_counts(spark, sf):
+    return store.bump(B.table(spark, sf, "events"), "user_id", "ts")
+
+
+@query("relevance_classes", """WITH q AS (SELECT item_id, lower(text) AS q FROM benchmark), s AS (SELECT item_id, list_filter(list_distinct(regexp_extract_all(q, '[\\p{L}\\p{N}_]+')), lambda w: NOT list_contains(['a', 'an', 'the', 'is', 'of', 'in', 'on', 'to', 'for', 'and', 'or'], w)) AS w, q FROM q)
+    SELECT a.item_id AS a, b.item_id AS b FROM s a JOIN s b ON a.item_id <> b.item_id WHERE contains(a.q, b.q) OR len(list_intersect(a.w, b.w)) >= 2""")
+def relevance_classes(spark, sf):
+    q = B.table(spark, sf, "benchmark")
+    a, b = q.select(F.col("item_id").alias("a"), F.col("text").alias("x")), q.select(F.col("item_id").alias("b"), F.col("text").alias("y"))
+    words = lambda df, key, col: df.select(key, F.explode(F.array_distinct(F.regexp_extract_all(F.lower(col), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)))).alias("w"))
+    # Pairs meet on a shared word; a text that contains another shares its words.
+    met = words(a, "a", "x").join(words(b, "b", "y"), "w").where("a <> b").select("a", "b").distinct()
+    return met.join(a, "a").join(b, "b").where(rules.lesson_applies(F.col("x"), F.col("y"))).select("a", "b")
