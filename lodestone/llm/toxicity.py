@@ -9,7 +9,8 @@ Candidate features are counted over all texts of that sample in the cluster, and
 association come to the driver: at most `FEATURES` for each category, none below `SIGNIFICANT`. Every document is then scored on its whole text.
 
 A null or empty text has no words and is never flagged. Documents without labels are scored like all others. Without
-both kinds of labels for a category, its model gives their share. Repeated rows get equal scores; an empty table gives
+both kinds of labels for a category, its model gives their share, and with fewer than `LEAST_LABELS` of a kind for the
+last category nothing is flagged. Repeated rows get equal scores; an empty table gives
 an empty result; further columns are ignored.
 """
 
@@ -29,6 +30,12 @@ from lodestone.llm.words import U64
 MOST_LABELLED, FEATURES, FOLDS, LEAST_DOCS, PENALTY = 10_000, 2048, 5, 2, 1.0
 #: The least chi-squared value of a feature: below it some of the many candidates are associated by chance.
 SIGNIFICANT = 24.0
+#: The least threshold: with few labels the best one on them is too low for texts of other kinds.
+LEAST_THRESHOLD = 0.4
+#: With fewer labelled documents of either kind nothing is rejected.
+LEAST_LABELS = 5
+#: Structure columns weigh less than words, for they tell languages and kinds of text apart rather than toxicity.
+STRUCTURE_SCALE = 0.3
 #: Lengths in bytes of the word beginnings that are features besides whole words.
 BEGINNINGS = (5, 6)
 #: The labels table marks low quality and toxicity; the chain reads them in this order.
@@ -132,7 +139,10 @@ class Chain:
         self.threshold = 0.5
 
     def dense(self, texts: pa.Array) -> np.ndarray:
-        return np.clip((features.structure(texts) - self.centre) / self.spread, -4, 4)
+        return self.scaled(features.structure(texts))
+
+    def scaled(self, structure: np.ndarray) -> np.ndarray:
+        return STRUCTURE_SCALE * np.clip((structure - self.centre) / self.spread, -4, 4)
 
     def train(self, rows: np.ndarray, columns: np.ndarray, dense: np.ndarray, targets: np.ndarray, fold: np.ndarray) -> np.ndarray:
         """Fits all models; returns the out-of-fold probabilities."""
@@ -229,8 +239,10 @@ def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], most_
     spread = np.maximum(dense.std(0), 1e-6) if len(dense) else np.ones(len(features.STRUCTURE))
     chain = Chain(lookup, centre, spread)
     targets = np.stack([np.asarray(data[name], np.int64) for name in names], 1)
-    outside = chain.train(rows, columns, np.clip((dense - centre) / spread, -4, 4), targets, np.asarray(data["fold"], np.int64))
-    chain.threshold = best_threshold(outside[:, -1], targets[:, -1]) if len(targets) else 0.5
+    outside = chain.train(rows, columns, chain.scaled(dense), targets, np.asarray(data["fold"], np.int64))
+    last = targets[:, -1]
+    learnt = min(last.sum(), len(last) - last.sum()) >= LEAST_LABELS
+    chain.threshold = max(LEAST_THRESHOLD, best_threshold(outside[:, -1], last)) if learnt else 2.0
     space.close()
     return chain
 
