@@ -66,17 +66,31 @@ def structure(texts: pa.Array) -> np.ndarray:
     return np.stack(columns, 1)
 
 
-def labelled(labels: DataFrame, targets: dict[str, Column], most: int, train_only: bool = False) -> DataFrame:
+def labelled(labels: DataFrame, targets: dict[str, Column], most: int, train_only: bool = False, docs: DataFrame | None = None, by: str | None = None) -> DataFrame:
     """doc_id and 0/1 targets of at most `most` labelled documents, taken in the order of a hash of their ids.
 
     Repeated labels of a document are averaged and rounded. With train_only, ids whose crc32 leaves 0 modulo 5 are held
-    out. The bound is what a model is fitted on; it is a parameter, and nothing else is bounded by it.
+    out. The bound is what a model is fitted on; it is a parameter, and nothing else is bounded by it. With docs, only
+    labels of its documents count. With by, each kind of that target gets its share of the bound, and the rarer one a
+    tenth of the bound at least or all it has.
     """
     rows = labels.select("doc_id", *(c.cast("double").alias(name) for name, c in targets.items())).where(F.col("doc_id").isNotNull())
     if train_only:
         rows = rows.where(~held_out(F.col("doc_id")))
     rows = rows.dropna().groupBy("doc_id").agg(*(F.round(F.avg(name)).cast("int").alias(name) for name in targets))
-    return rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    if docs is not None:
+        rows = rows.join(docs.select("doc_id"), "doc_id", "left_semi")
+    if by is None:
+        return rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    counts = rows.agg(F.count("*").alias("n"), F.count_if(F.col(by) > 0).alias("ones")).first()
+    ones, zeros = counts.ones, counts.n - counts.ones
+    least = most // 10
+    taken = round(most * ones / max(counts.n, 1))
+    taken = min(ones, max(taken, min(ones, least), most - zeros, 0))
+    taken = min(taken, most - min(zeros, least))
+    kinds = [rows.where(F.col(by) > 0), taken], [rows.where(F.col(by) <= 0), most - taken]
+    parts = [kind.orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for kind, n in kinds]
+    return parts[0].unionByName(parts[1])
 
 
 def held_out(doc_id: Column) -> Column:

@@ -4,14 +4,16 @@ A model of the chain reads which of its chosen words and word beginnings a text
 and the log-odds that earlier categories were given. While it is trained it reads out-of-fold log-odds, made by models
 that had not seen the document, so that it learns to trust them as far as they deserve on unseen texts.
 
-Training uses at most `most_labelled` labelled documents (a documented bound; they are chosen by a hash of their ids).
+Training uses at most `most_labelled` labelled documents (a documented bound; they are chosen among the labels of documents
+at hand by a hash of their ids). Each kind of the last category has its share of them, and a rare kind all it has up to a
+tenth of the bound, so where it is rarer than that, probabilities are those of a corpus with the sample's share.
 Candidate features are counted over all texts of that sample in the cluster, and those with the strongest chi-squared
 association come to the driver: at most `FEATURES` for each category, none below `SIGNIFICANT`. Every document is then scored on its whole text.
 
 A null or empty text has no words and is never flagged. Documents without labels are scored like all others. Without
-both kinds of labels for a category, its model gives their share, and with fewer than `LEAST_LABELS` of a kind for the
-last category nothing is flagged. Repeated rows get equal scores; an empty table gives
-an empty result; further columns are ignored.
+both kinds of labels for a category, its model gives their share; where that is the last category nothing is flagged, for
+nothing tells its kinds apart. With fewer than `LEAST_LABELS` of a kind, a document is flagged from the probability
+`FEW_THRESHOLD` on. Repeated rows get equal scores; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,8 +34,8 @@ MOST_LABELLED, FEATURES, FOLDS, LEAST_DOCS, PENALTY = 10_000, 2048, 5, 2, 1.0
 SIGNIFICANT = 24.0
 #: The least threshold: with few labels the best one on them is too low for texts of other kinds.
 LEAST_THRESHOLD = 0.4
-#: With fewer labelled documents of either kind nothing is rejected.
-LEAST_LABELS = 5
+#: With fewer labelled documents of either kind no threshold is learnt, and FEW_THRESHOLD decides.
+LEAST_LABELS, FEW_THRESHOLD = 5, 0.5
 #: Structure columns weigh less than words, for they tell languages and kinds of text apart rather than toxicity.
 STRUCTURE_SCALE = 0.3
 #: Lengths in bytes of the word beginnings that are features besides whole words.
@@ -201,8 +203,9 @@ def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], most_
     """The chain for the given categories (name to 0/1 column of labels), in their order."""
     space = Workspace(docs.sparkSession, "toxicity")
     names = list(categories)
-    chosen = F.broadcast(features.labelled(labels, categories, most_labelled))  # most_labelled rows of a few numbers
-    sample = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(chosen, "doc_id").dropDuplicates(["doc_id"])
+    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    chosen = F.broadcast(features.labelled(labels, categories, most_labelled, docs=docs, by=names[-1]))  # most_labelled rows of a few numbers
+    sample = docs.join(chosen, "doc_id").dropDuplicates(["doc_id"])
     sample = space.write(sample.select("doc_id", "text", *names), "sample")
     schema = "key long, n long, " + ", ".join(f"{name} long" for name in names)
     totals = sample.agg(F.count("*").alias("n"), *(F.coalesce(F.sum(name), F.lit(0)).alias(name) for name in names)).first()
@@ -241,8 +244,8 @@ def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], most_
     targets = np.stack([np.asarray(data[name], np.int64) for name in names], 1)
     outside = chain.train(rows, columns, chain.scaled(dense), targets, np.asarray(data["fold"], np.int64))
     last = targets[:, -1]
-    learnt = min(last.sum(), len(last) - last.sum()) >= LEAST_LABELS
-    chain.threshold = max(LEAST_THRESHOLD, best_threshold(outside[:, -1], last)) if learnt else 2.0
+    fewer = min(last.sum(), len(last) - last.sum())
+    chain.threshold = max(LEAST_THRESHOLD, best_threshold(outside[:, -1], last)) if fewer >= LEAST_LABELS else FEW_THRESHOLD if fewer else 2.0
     space.close()
     return chain
 

@@ -43,6 +43,20 @@ def test_toxicity_on_documents_outside_the_fit(spark, tables):
     assert sum(b and not a for a, b in known) / len(known) < 0.01
 
 
+@pytest.mark.parametrize("toxic, most, strangers", [(40, 200, 2000), (4, 10_000, 0)])
+def test_rare_toxic_labels_do_not_turn_the_filter_off(spark, toxic, most, strangers):
+    rng = np.random.default_rng(toxic)
+    plain, bad = [f"word{k}" for k in range(300)], [f"insult{k}" for k in range(12)]
+    text = lambda is_bad: " ".join([*rng.choice(plain, 20), *(rng.choice(bad, 9, replace=False) if is_bad else [])])
+    # Documents up to 2,000 are labelled, the rest are not; some labels are of documents not at hand.
+    rows = [(i, text(i < toxic or 2000 <= i < 2050)) for i in range(2100)]
+    labels = [(i, 1, int(i < toxic)) for i in range(2000)] + [(10_000 + i, 1, 0) for i in range(strangers)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = toxicity.toxic_documents(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), most).collect()
+    flagged = {r.doc_id for r in out if r.toxic}
+    assert len(flagged & set(range(2000, 2050))) >= 45 and len(flagged - set(range(2000, 2050)) - set(range(toxic))) <= 5
+
+
 def test_machine_equals_the_pairwise_sum():
     rng = np.random.default_rng(0)
     m = quality.Machine(3)
