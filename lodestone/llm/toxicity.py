@@ -13,7 +13,7 @@ association come to the driver: at most `FEATURES` for each category, none below
 A null or empty text has no words and is never flagged. Documents without labels are scored like all others. Without
 both kinds of labels for a category, its model gives their share; where that is the last category nothing is flagged, for
 nothing tells its kinds apart. With fewer than `LEAST_LABELS` of a kind, a document is flagged from the probability
-`FEW_THRESHOLD` on. Repeated rows get equal scores; an empty table gives an empty result; further columns are ignored.
+midway between the share of that category among the labels and 1 on. Repeated rows get equal scores; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,8 +34,8 @@ MOST_LABELLED, FEATURES, FOLDS, LEAST_DOCS, PENALTY = 10_000, 2048, 5, 2, 1.0
 SIGNIFICANT = 24.0
 #: The least threshold: with few labels the best one on them is too low for texts of other kinds.
 LEAST_THRESHOLD = 0.4
-#: With fewer labelled documents of either kind no threshold is learnt, and FEW_THRESHOLD decides.
-LEAST_LABELS, FEW_THRESHOLD = 5, 0.5
+#: With fewer labelled documents of either kind no threshold is learnt; the share of the labels sets it.
+LEAST_LABELS = 5
 #: Structure columns weigh less than words, for they tell languages and kinds of text apart rather than toxicity.
 STRUCTURE_SCALE = 0.3
 #: Lengths in bytes of the word beginnings that are features besides whole words.
@@ -245,7 +245,7 @@ def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], most_
     outside = chain.train(rows, columns, chain.scaled(dense), targets, np.asarray(data["fold"], np.int64))
     last = targets[:, -1]
     fewer = min(last.sum(), len(last) - last.sum())
-    chain.threshold = max(LEAST_THRESHOLD, best_threshold(outside[:, -1], last)) if fewer >= LEAST_LABELS else FEW_THRESHOLD if fewer else 2.0
+    chain.threshold = max(LEAST_THRESHOLD, best_threshold(outside[:, -1], last)) if fewer >= LEAST_LABELS else (1 + last.mean()) / 2 if fewer else 2.0
     space.close()
     return chain
 
