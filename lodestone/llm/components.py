@@ -35,3 +35,13 @@ def connected(edges: DataFrame, space: Workspace, jumps: int = 2) -> DataFrame:
         edges = space.write(left.select(F.col("a_root").alias("a"), F.col("b_root").alias("b")).distinct(), "links")
         if edges.isEmpty():
             return roots
+
+
+def merged(roots: DataFrame, edges: DataFrame, space: Workspace) -> DataFrame:
+    """The roots of a graph that gets more edges (a, b): only what they touch is contracted again."""
+    of = lambda end: roots.select(F.col("node").alias(end), F.col("root").alias(f"{end}_root"))
+    ends = edges.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    parts = connected(ends.select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b")), space)
+    up = parts.select(F.col("node").alias("root"), F.col("root").alias("above"))
+    moved = roots.join(up, "root", "left").select("node", F.coalesce("above", "root").alias("root"))
+    return space.write(moved.unionByName(parts.join(roots, "node", "left_anti")), "roots")

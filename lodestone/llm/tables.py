@@ -6,6 +6,7 @@ executor costs the tasks it ran and nothing that was written.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -17,10 +18,15 @@ _fallback: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that `spark.checkpoint.dir` names; a temporary one only where the setting is absent (local tests)."""
+    """The folder that `spark.checkpoint.dir` names; a temporary one only for a local master without it (tests).
+
+    Elsewhere a missing setting is an error: executors of a cluster do not see each other's temporary folders.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return "file://" + _fallback.setdefault("dir", tempfile.mkdtemp(prefix="lodestone-"))
 
 
@@ -45,6 +51,15 @@ class Workspace:
             for file in table.inputFiles()[:1]:
                 self._delete(file.rpartition("/")[0])
 
+    def keep(self, table: DataFrame) -> None:
+        """Deletes every other table of this workspace; `table` is what the operator returns."""
+        kept = {file.rpartition("/")[0].rpartition("/")[2] for file in table.inputFiles()[:1]}
+        jvm = self.spark._jvm
+        root = jvm.org.apache.hadoop.fs.Path(self.root)
+        for status in root.getFileSystem(self.spark._jsc.hadoopConfiguration()).listStatus(root):
+            if status.getPath().getName() not in kept:
+                self._delete(status.getPath().toString())
+
     def close(self) -> None:
         self._delete(self.root)
 

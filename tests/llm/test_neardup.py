@@ -67,6 +67,40 @@ def test_a_large_group_at_the_threshold(spark, monkeypatch):
     assert run(spark, rows) == brute(rows)
 
 
+def test_a_group_of_five_thousand_near_copies(spark):
+    """One hot band group of copies with edits of every strength, against all pairs by a matrix product."""
+    rnd = random.Random(5)
+    base = [f"w{rnd.randrange(10**6)}" for _ in range(120)]
+    rows = []
+    for i in range(5000):
+        w = list(base)
+        for _ in range(rnd.choice((1, 2, 3, 4, 6, 8))):
+            w[rnd.randrange(120)] = f"e{rnd.randrange(10**6)}"
+        rows.append((i * 2 + 3, " ".join(w)))
+    sets = [shingles(t) for _, t in rows]
+    number = {x: k for k, x in enumerate(shingles(" ".join(base)))}
+    held = np.zeros((len(rows), len(number)), np.float32)
+    for i, s in enumerate(sets):
+        held[i, [number[x] for x in s if x in number]] = 1
+    both, size = held @ held.T, np.array([len(s) for s in sets])
+    linked = 100 * both >= 75 * (size[:, None] + size[None, :] - both)
+    np.fill_diagonal(linked, True)
+    label = np.arange(len(rows))
+    while True:
+        low = np.where(linked, label[None, :], len(rows)).min(1)
+        if (low == label).all():
+            break
+        label = low
+    got = run(spark, rows, 8)
+    assert {k: v[1] for k, v in got.items()} == {r[0]: rows[label[i]][0] for i, r in enumerate(rows)}
+    assert len(set(label.tolist())) > 100
+
+
+def test_rows_of_one_id_with_different_texts_stay(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f", "x"), (1, "p q r s t u", "y"), (1, "p q r s t u", "x"), (2, "p q r s t u", "z"), (3, "k l m", "z")], "doc_id long, text string, source string")
+    assert sorted(tuple(r) for r in neardup.deduplicate(docs).collect()) == [(1, "a b c d e f", "x"), (1, "p q r s t u", "x"), (3, "k l m", "z")]
+
+
 def test_edges(spark):
     rows = [(5, None), (6, ""), (7, " \n\t"), (8, "one two"), (9, "ONE  two"), (10, "one two three"), (11, "a b c d e"), (3, "A b C d E"), (12, "x y z " * 40_000)]
     got = run(spark, rows)
