@@ -12,8 +12,9 @@ The model is fitted on at most `most_labelled` labelled documents (a documented
 whose crc32 leaves 0 modulo 5 never reach the fit. Scores are calibrated by the fit's own logistic link, and all
 documents are scored on their whole text.
 
-A null text counts as empty and is scored like an empty one, from its structure alone. Repeated rows get equal scores;
-repeated labels are averaged; without both labels in the sample, scores give their share. An empty table gives an empty
+A null text counts as empty and is scored like an empty one, from its structure alone; a very long text is read whole, in
+a part of its own. Repeated rows get equal scores; of rows that share an id and differ in text the smallest text is learnt
+from; ties at the bound of the sample go to smaller ids; repeated labels are averaged; without both labels in the sample, scores give their share. An empty table gives an empty
 result; further columns are ignored. A row without an id is scored and is not held out.
 """
 
@@ -132,7 +133,7 @@ def fit(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABELLED,
     """A scorer fitted on labelled documents outside the held-out fifth."""
     space = Workspace(docs.sparkSession, "quality")
     chosen = F.broadcast(features.labelled(labels, {"quality": F.col("quality")}, most_labelled, train_only=True))  # most_labelled rows of two numbers
-    sample = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(chosen, "doc_id").dropDuplicates(["doc_id"])
+    sample = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(chosen, "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:

@@ -10,10 +10,14 @@ tenth of the bound, so where it is rarer than that, probabilities are those of a
 Candidate features are counted over all texts of that sample in the cluster, and those with the strongest chi-squared
 association come to the driver: at most `FEATURES` for each category, none below `SIGNIFICANT`. Every document is then scored on its whole text.
 
-A null or empty text has no words and is never flagged. Documents without labels are scored like all others. Without
-both kinds of labels for a category, its model gives their share; where that is the last category nothing is flagged, for
-nothing tells its kinds apart. With fewer than `LEAST_LABELS` of a kind, a document is flagged from the probability
-midway between the share of that category among the labels and 1 on. Repeated rows get equal scores; an empty table gives an empty result; further columns are ignored.
+The last category flags from a threshold on: the one that is best on out-of-fold probabilities, drawn towards the middle
+between the category's share of the labels and 1 as by `PRIOR_LABELS` further labels, so that few labels do not set it
+alone. Folds go by the smallest shingle of a text, so near copies stand in the same fold.
+
+A null or empty text has no words and is never flagged; a very long text is read whole, in a part of its own. Documents
+without labels are scored like all others. Without both kinds of labels for a category its model gives their share.
+Repeated rows get equal scores; of rows that share an id and differ in text the smallest text is learnt from. Ties at the
+bound of the sample go to smaller ids. An empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,16 +30,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm import features, words
+from lodestone.llm.neardup import shingle_sets
 from lodestone.llm.tables import Workspace
 from lodestone.llm.words import U64
 
 MOST_LABELLED, FEATURES, FOLDS, LEAST_DOCS, PENALTY = 10_000, 2048, 5, 2, 1.0
 #: The least chi-squared value of a feature: below it some of the many candidates are associated by chance.
 SIGNIFICANT = 24.0
-#: The least threshold: with few labels the best one on them is too low for texts of other kinds.
-LEAST_THRESHOLD = 0.4
-#: With fewer labelled documents of either kind no threshold is learnt; the share of the labels sets it.
-LEAST_LABELS = 5
+#: How many labels of the rarer kind the prior of the threshold counts for.
+PRIOR_LABELS = 25
 #: Structure columns weigh less than words, for they tell languages and kinds of text apart rather than toxicity.
 STRUCTURE_SCALE = 0.3
 #: Lengths in bytes of the word beginnings that are features besides whole words.
@@ -87,7 +90,8 @@ class Linear:
     def decide(self, rows: np.ndarray, columns: np.ndarray, dense: np.ndarray) -> np.ndarray:
         return np.bincount(rows, self.w[columns], len(dense)) + dense @ self.v + self.b
 
-    def fit(self, rows: np.ndarray, columns: np.ndarray, dense: np.ndarray, y: np.ndarray, steps: int = 8) -> Linear:
+    def fit(self, rows: np.ndarray, columns: np.ndarray, dense: np.ndarray, y: np.ndarray, start: Linear | None = None, steps: int = 12) -> Linear:
+        """The optimum for y. The loss is convex, so where the steps start from changes their number and not the result."""
         n, p = len(y), len(self.w)
         if n == 0 or y.min() == y.max():
             share = np.clip(y.mean() if n else 0.0, 1e-4, 1 - 1e-4)
@@ -101,7 +105,7 @@ class Linear:
         def loss(x: np.ndarray, z: np.ndarray) -> float:
             return float(np.logaddexp(0, np.where(y > 0, -z, z)).sum() + 0.5 * (ridge * x * x).sum())
 
-        x = np.zeros(p + dense.shape[1])
+        x = np.zeros(p + dense.shape[1]) if start is None else np.r_[start.w, start.v, start.b]
         z = times(x)
         for _ in range(steps):
             share = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
@@ -112,21 +116,21 @@ class Linear:
             way = scale * rest
             power = rest @ way
             first = power
-            for _ in range(12):
+            for _ in range(30):
                 bent = back(curve * times(way)) + ridge * way
                 size = power / max(way @ bent, 1e-300)
                 step += size * way
                 rest -= size * bent
                 turned = scale * rest
                 power, old = rest @ turned, power
-                if power < 1e-3 * first:
+                if power < 1e-6 * first:
                     break
                 way = turned + power / old * way
             now, length, move = loss(x, z), 1.0, times(step)
             while length > 1e-3 and loss(x + length * step, z + length * move) > now:
                 length /= 2
             x, z = x + length * step, z + length * move
-            if now - loss(x, z) < 1e-4 * abs(now):
+            if now - loss(x, z) < 1e-6 * abs(now):
                 break
         self.w, self.v, self.b = x[:p], x[p:-1], float(x[-1])
         return self
@@ -152,13 +156,14 @@ class Chain:
         for k in range(targets.shape[1]):
             y = targets[:, k].astype(float)
             odds = np.zeros(len(y))
+            whole = Linear(len(self.lookup.keys), known.shape[1]).fit(rows, columns, known, y)
             for f in range(FOLDS):
                 out = fold == f
                 inside = ~out[rows]
                 index = np.cumsum(~out) - 1
-                model = Linear(len(self.lookup.keys), known.shape[1]).fit(index[rows[inside]], columns[inside], known[~out], y[~out])
+                model = Linear(len(self.lookup.keys), known.shape[1]).fit(index[rows[inside]], columns[inside], known[~out], y[~out], whole)
                 odds[out] = model.decide(rows, columns, known)[out]
-            self.models.append(Linear(len(self.lookup.keys), known.shape[1]).fit(rows, columns, known, y))
+            self.models.append(whole)
             outside[:, k] = 1 / (1 + np.exp(-odds))
             known = np.column_stack([known, np.clip(odds, -8, 8)])
         return outside
@@ -205,7 +210,7 @@ def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], most_
     names = list(categories)
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     chosen = F.broadcast(features.labelled(labels, categories, most_labelled, docs=docs, by=names[-1]))  # most_labelled rows of a few numbers
-    sample = docs.join(chosen, "doc_id").dropDuplicates(["doc_id"])
+    sample = docs.join(chosen, "doc_id").groupBy("doc_id", *names).agg(F.min("text").alias("text"))
     sample = space.write(sample.select("doc_id", "text", *names), "sample")
     schema = "key long, n long, " + ", ".join(f"{name} long" for name in names)
     totals = sample.agg(F.count("*").alias("n"), *(F.coalesce(F.sum(name), F.lit(0)).alias(name) for name in names)).first()
@@ -228,12 +233,14 @@ def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], most_
                 edges = np.searchsorted(rows, np.arange(len(texts) + 1))
                 lists = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(columns, pa.int32()))
                 dense = pa.array(list(features.structure(texts)), pa.list_(pa.float64()))
-                yield pa.RecordBatch.from_arrays([b.column(0), lists, dense, *b.columns[2:]], ["doc_id", "columns", "dense", *names])
+                least = np.array([s[0] if len(s) else 0 for s in shingle_sets(texts)], U64)
+                fold = pa.array((words.mix(least, 31) % U64(FOLDS)).astype(np.int64))
+                yield pa.RecordBatch.from_arrays([b.column(0), lists, dense, fold, *b.columns[2:]], ["doc_id", "columns", "dense", "fold", *names])
 
     flags = ", ".join(f"{name} int" for name in names)
     kind = sample.schema["doc_id"].dataType.simpleString()
-    data = sample.mapInArrow(matrix, f"doc_id {kind}, columns array<int>, dense array<double>, {flags}")
-    data = data.withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(FOLDS))).orderBy("doc_id").toArrow()  # most_labelled rows
+    data = sample.mapInArrow(matrix, f"doc_id {kind}, columns array<int>, dense array<double>, fold long, {flags}")
+    data = data.orderBy("doc_id").toArrow()  # most_labelled rows
     dense = np.array(data["dense"].to_pylist(), float).reshape(-1, len(features.STRUCTURE))
     columns = data["columns"].combine_chunks()
     rows = np.repeat(np.arange(len(data)), np.asarray(columns.value_lengths(), np.int64)) if len(data) else np.zeros(0, np.int64)
@@ -245,7 +252,8 @@ def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], most_
     outside = chain.train(rows, columns, chain.scaled(dense), targets, np.asarray(data["fold"], np.int64))
     last = targets[:, -1]
     fewer = min(last.sum(), len(last) - last.sum())
-    chain.threshold = max(LEAST_THRESHOLD, best_threshold(outside[:, -1], last)) if fewer >= LEAST_LABELS else (1 + last.mean()) / 2 if fewer else 2.0
+    middle = (1 + last.mean()) / 2 if len(last) else 0.5
+    chain.threshold = float((fewer * best_threshold(outside[:, -1], last) + PRIOR_LABELS * middle) / (fewer + PRIOR_LABELS))
     space.close()
     return chain
 
