@@ -74,3 +74,18 @@ def test_redaction_keeps_rows_and_columns(spark):
     docs = spark.createDataFrame([(1, "call +1 (555) 555-0100 now", "en", "s", 26), (2, None, "en", "s", 0)], "doc_id long, text string, lang string, source string, n_chars long")
     out = sorted(pii.redact(docs).collect())
     assert out[0].text == "call <phone> now" and out[0].n_chars == 16 and out[1].text is None and pii.redact(docs).columns == docs.columns
+
+
+def test_context_decides_on_further_kinds():
+    kinds = lambda text: [x[0] for x in pii.find_spans(text)]
+    assert kinds("GB82 WEST 1234 5698 7654 32 PLEASE") == ["iban"] and pii.find_spans("GB82 WEST 1234 5698 7654 32 PLEASE")[0][1:3] == (0, 27)
+    assert kinds("for example GB82 WEST 1234 5698 7654 32") == [] and kinds("example of a bank account GB82WEST12345698765432") == ["iban"]
+    assert kinds("number 219-09-9999") == [] and kinds("his SSN is 219-09-9999") == ["ssn"] and kinds("ssn 000-09-9999") == []
+    assert kinds("session=abcdef0123456789ab") == [] and kinds("login with session=abcdef0123456789ab") == ["secret"]
+    assert kinds("api_key = abcdefghijklmnopqrst") == ["secret"] and kinds('{"token": "ABCDEF0123456789XY"}') == ["secret"]
+    assert kinds("a sample password=abcdefghijklmnop") == []
+
+
+def test_scores_are_returned(spark):
+    docs = spark.createDataFrame([(1, "mail a@b.co or server 10.0.0.1")], "doc_id long, text string")
+    assert [r.scores for r in pii.digest(pii.detect(docs)).collect()] == ["1.0,0.8"]
