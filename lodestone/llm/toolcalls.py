@@ -4,13 +4,15 @@ Calls and results meet in a hash join on (conversation, identifier), so a conver
 tasks. Each call gets a place in a topological order of its dependencies: rows sorted by (wave, turn, place) have every
 call after those it depends on. `wave` counts the dependencies that point forward in the conversation on the way to a
 call; where all point back, as they should, it is 0 and nothing is iterated. Conversations with a forward dependency are
-settled by rounds of resolved calls; what never resolves is a cycle.
+settled by rounds of pointer doubling; what never resolves is a cycle.
 
 Statuses, the first that applies: no_id, duplicate (a later call with an identifier already taken), unknown_tool,
 invalid_arguments (not JSON, or against the tool's schema), cycle, missing_dependency, no_result, ok. Of several results
 the first by turn is linked. Results without a call are returned by `orphans`.
 
-Null texts and texts that are not JSON objects hold no calls. Nulls in arguments count as invalid JSON. Repeated rows
+Null texts and texts that are not JSON objects hold no calls; very long and deeply nested ones are read whole, as far as
+JSON's parser goes, and what it refuses (also numbers out of range) is no JSON. Lone surrogates are kept as escapes. Calls
+of equal identifiers are ranked by turn, place, name and arguments, so ties are repeated rows. Nulls in arguments count as invalid JSON. Repeated rows
 are duplicates. An empty table gives an empty result; further columns are ignored.
 """
 
@@ -18,6 +20,7 @@ from __future__ import annotations
 
 import json
 import math
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -31,25 +34,62 @@ RESULT = "conv_id {kind}, turn long, call_id string, content string"
 TYPES = {"object": dict, "array": list, "string": str, "boolean": bool, "null": type(None)}
 
 
-def canonical(value: object) -> str:
-    """JSON with sorted keys and no spare space; whole floats are written as integers, as equal numbers must be."""
-    return json.dumps(_plain(value), ensure_ascii=False, sort_keys=True, separators=(",", ":"), allow_nan=False)
+_LONE = re.compile("[\ud800-\udfff]")
 
 
-def _plain(value: object) -> object:
-    if isinstance(value, dict):
-        return {k: _plain(v) for k, v in value.items()}
-    if isinstance(value, list):
-        return [_plain(v) for v in value]
-    if isinstance(value, float) and math.isfinite(value) and value.is_integer() and abs(value) < 2**53:
-        return int(value)
+class _Raw(str):
+    """A piece of finished JSON."""
+
+
+def _safe(text: str) -> str:
+    """The text with each lone surrogate, which UTF-8 cannot hold, as its escape."""
+    return _LONE.sub(lambda m: f"\\u{ord(m[0]):04x}", text)
+
+
+def canonical(value: object) -> str:
+    """JSON with sorted keys and no spare space; whole floats are written as integers, as equal numbers must be.
+
+    Any value that `parsed` returns has a text: nesting of any depth (there is no recursion), numbers of any length, and lone
+    surrogates, which stay escaped.
+    """
+    out: list[str] = []
+    stack: list[object] = [value]
+    while stack:
+        x = stack.pop()
+        if isinstance(x, _Raw):
+            out.append(x)
+        elif isinstance(x, dict):
+            pieces: list[object] = [_Raw("{")]
+            for i, k in enumerate(sorted(x)):
+                pieces += [_Raw(("," if i else "") + json.dumps(k, ensure_ascii=False) + ":"), x[k]]
+            stack += [*pieces, _Raw("}")][::-1]
+        elif isinstance(x, list):
+            pieces = [_Raw("[")]
+            for i, v in enumerate(x):
+                pieces += [_Raw(","), v] if i else [v]
+            stack += [*pieces, _Raw("]")][::-1]
+        elif isinstance(x, float) and x.is_integer() and abs(x) < 2**53:
+            out.append(str(int(x)))
+        else:
+            out.append(json.dumps(x, ensure_ascii=False, allow_nan=False))
+    return _safe("".join(out))
+
+
+def _finite(text: str) -> float:
+    value = float(text)
+    if not math.isfinite(value):
+        raise ValueError(f"{text[:40]} is out of range")
     return value
 
 
 def parsed(text: str | None) -> object:
-    """The JSON value of a text, or the ValueError that says why it has none."""
+    """The JSON value of a text, or the ValueError that says why it has none.
+
+    Numbers beyond the range of doubles, integers of more than 4300 digits and nesting beyond the parser's own limit (some
+    thousands) are no JSON here.
+    """
     try:
-        return json.loads(text, parse_constant=lambda c: (_ for _ in ()).throw(ValueError(c)))
+        return json.loads(text, parse_float=_finite, parse_constant=_finite)
     except (ValueError, TypeError, RecursionError) as e:
         return ValueError(str(e))
 
@@ -85,7 +125,7 @@ def violations(value: object, schema: dict, path: str = "$") -> list[str]:
 def _is(value: object, kind: str) -> bool:
     if kind in ("number", "integer"):
         number = isinstance(value, (int, float)) and not isinstance(value, bool)
-        return number and (kind == "number" or float(value).is_integer())
+        return number and (kind == "number" or isinstance(value, int) or value.is_integer())
     return isinstance(value, TYPES[kind])
 
 
@@ -105,7 +145,7 @@ def parse(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
                 for k, c in enumerate(found if isinstance(found, list) else []):
                     c = c if isinstance(c, dict) else {}
                     given, needs = c.get("arguments"), c.get("depends_on")
-                    row = (b.column(0)[i].as_py(), b.column(1)[i].as_py(), k, _text(c.get("id")), _text(c.get("name")), given if isinstance(given, str) or given is None else canonical(given), [str(x) for x in needs] if isinstance(needs, list) else [])
+                    row = (b.column(0)[i].as_py(), b.column(1)[i].as_py(), k, _text(c.get("id")), _text(c.get("name")), _text(given), [_text(x) or "null" for x in needs] if isinstance(needs, list) else [])
                     for column, v in zip(rows, row, strict=True):
                         column.append(v)
             kinds = [b.schema.field(0).type, pa.int64(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.list_(pa.string())]
@@ -118,7 +158,7 @@ def parse(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
                 value = parsed(text)
                 if isinstance(value, dict) and "tool_call_id" in value:
                     content = value.get("content")
-                    rows.append((b.column(0)[i].as_py(), b.column(1)[i].as_py(), _text(value["tool_call_id"]), content if isinstance(content, str) or content is None else canonical(content)))
+                    rows.append((b.column(0)[i].as_py(), b.column(1)[i].as_py(), _text(value["tool_call_id"]), _text(content)))
             kinds = [b.schema.field(0).type, pa.int64(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows, strict=True)) or [[]] * 4, kinds, strict=True)], ["conv_id", "turn", "call_id", "content"])
 
@@ -128,7 +168,7 @@ def parse(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _text(value: object) -> str | None:
-    return None if value is None else value if isinstance(value, str) else canonical(value)
+    return None if value is None else _safe(value) if isinstance(value, str) else canonical(value)
 
 
 def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> DataFrame:
@@ -180,22 +220,43 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> Data
 
 
 def _waves(heads: DataFrame, edges: DataFrame, space: Workspace) -> DataFrame:
-    """(conv_id, call_id, wave) of the calls in conversations with a forward dependency; wave -1 for cycles."""
+    """(conv_id, call_id, wave) of the calls in conversations with a forward dependency; wave -1 for cycles.
+
+    A round resolves calls whose dependencies are all resolved, and lets every other dependency on a call that itself
+    waits for one call only jump over it (pointer doubling): wave = max(low, wave of that one + weight). So a chain takes as
+    many rounds as its length has binary digits, and a graph about that many for each level at which it branches.
+    """
     key = ["conv_id", "call_id"]
     hit = edges.where("forward").select("conv_id").distinct()
-    open_edges = space.write(edges.join(hit, "conv_id", "left_semi").select(*key, "needed", F.col("forward").cast("int").alias("step")), "open")
-    left = space.write(heads.join(hit, "conv_id", "left_semi").select(key), "left")
-    done = left.limit(0).withColumn("wave", F.lit(0))
+    waits = edges.join(hit, "conv_id", "left_semi").select(*key, "needed", F.col("forward").cast("long").alias("weight"))
+    waits = space.write(waits, "open")
+    left = space.write(heads.join(hit, "conv_id", "left_semi").select(*key, F.lit(0).cast("long").alias("low")), "left")
+    done = []
     while not left.isEmpty():
-        known = done.select("conv_id", F.col("call_id").alias("needed"), "wave")
-        state = open_edges.join(known, ["conv_id", "needed"], "left").groupBy(key).agg(F.max(F.col("wave").isNull()).alias("waits"), F.max(F.col("wave") + F.col("step")).alias("wave"))
-        found = left.join(state, key, "left").where("NOT coalesce(waits, false)").select(*key, F.coalesce("wave", F.lit(0)).alias("wave"))
-        found = space.write(found, "resolved")
-        if found.isEmpty():
+        ready = left.join(waits.select(key).distinct(), key, "left_anti").select(*key, F.col("low").alias("wave"))
+        ready = space.write(ready, "resolved")
+        if ready.isEmpty():
             break
-        done = done.unionByName(found)
-        left = space.write(left.join(found, key, "left_anti"), "left")
-    return done.unionByName(left.withColumn("wave", F.lit(-1)))
+        done.append(ready)
+        known = ready.select("conv_id", F.col("call_id").alias("needed"), "wave")
+        told = waits.join(known, ["conv_id", "needed"], "left")
+        still = told.where("wave IS NULL").drop("wave")
+        single = still.groupBy(key).agg(F.count("*").alias("n"), F.min("needed").alias("over"), F.min("weight").alias("further")).where("n = 1")
+        lows = told.where("wave IS NOT NULL").select(*key, (F.col("wave") + F.col("weight")).alias("up"))
+        left = left.join(ready, key, "left_anti")
+        lows = left.unionByName(lows.select(*key, F.col("up").alias("low"))).groupBy(key).agg(F.max("low").alias("low"))
+        lows = space.write(lows, "lows")
+        jumps = single.join(lows, key).select("conv_id", F.col("call_id").alias("needed"), "over", "further", F.col("low").alias("least"))
+        moved = still.join(jumps, ["conv_id", "needed"], "left").withColumn("jumps", F.coalesce(F.col("over") != F.col("call_id"), F.lit(False)))
+        # Only in a cycle do weights grow without end; there they mean nothing.
+        weight = F.when(F.col("jumps"), F.least(F.col("weight") + F.col("further"), F.lit(1 << 40))).otherwise(F.col("weight"))
+        moved = space.write(moved.select(*key, F.when(F.col("jumps"), F.col("over")).otherwise(F.col("needed")).alias("needed"), weight.alias("next"), F.when(F.col("jumps"), F.least(F.col("least") + F.col("weight"), F.lit(1 << 40))).alias("low")), "moved")
+        left = space.write(lows.unionByName(moved.where("low IS NOT NULL").select(*key, "low")).groupBy(key).agg(F.max("low").alias("low")), "left")
+        waits = space.write(moved.groupBy(*key, "needed").agg(F.max("next").alias("weight")), "open")
+    out = left.select(*key, F.lit(-1).cast("long").alias("wave"))
+    for part in done:
+        out = out.unionByName(part)
+    return out.withColumn("wave", F.col("wave").cast("int"))
 
 
 def orphans(calls: DataFrame, results: DataFrame) -> DataFrame:

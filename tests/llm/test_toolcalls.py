@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 
@@ -73,3 +74,55 @@ def test_plain_conversations(spark):
     assert json.loads(out[1, 3, "duplicate"].json)["depends_on"] == ["1-1"]
     calls, results = toolcalls.as_calls(spark.createDataFrame([], "conv_id long, turn long, role string, text string"))
     assert toolcalls.link(calls, results, toolcalls.REPLY).collect() == []
+
+
+def test_canonical_is_total():
+    deep = "[" * 1500 + "]" * 1500
+    for text in ('{"a":1e400}', '{"a":-1e400}', '{"a":NaN}', "[" * 200_000):
+        assert isinstance(toolcalls.parsed(text), ValueError)
+    for text in (deep, '{"a":' * 1500 + "1" + "}" * 1500, '"\\ud800x"', '{"\\udfff":"\\ud83d\\ude00"}', "123456789" * 100, "1e300", "[-0.0,0.1,2.0]", '{"b":[],"a":{}}'):
+        value = toolcalls.parsed(text)
+        told = toolcalls.canonical(value)
+        told.encode()
+        assert toolcalls.canonical(json.loads(told)) == told
+        if len(text) < 1000:
+            assert json.loads(told) == value
+    assert toolcalls.canonical([2.0, -0.0, {"b": 1, "a": "é"}]) == '[2,0,{"a":"é","b":1}]'
+    assert toolcalls.violations(10**400, {"type": "integer", "maximum": 5}) == ["$: high"]
+
+
+def test_messages_that_no_text_column_can_hold(spark):
+    odd = ['{"a":1e400}', '"\\ud800"', "[" * 1500 + "]" * 1500, "z" * 300_000]
+    calls = {"tool_calls": [{"id": f"c{i}", "name": "add", "arguments": a} for i, a in enumerate(odd)] + [{"id": "\ud800", "name": "\udfff", "arguments": {"a": 1}, "depends_on": ["\ud800", None, 3]}]}
+    rows, _ = run(spark, [(1, 1, "assistant", calls), (1, 2, "tool", {"tool_call_id": "c0", "content": "\ud800"})])
+    assert {r.status for r in rows.values()} == {"invalid_arguments", "unknown_tool"} and len(rows) == 5
+
+
+def waves_of(needs):
+    """wave of each call by plain recursion over positions; cycles and what hangs on them get none."""
+    place = {c: i for i, c in enumerate(needs)}
+    wave: dict = {}
+    changed = True
+    while changed:
+        changed = False
+        for c, ns in needs.items():
+            if c not in wave and all(n in wave for n in ns):
+                wave[c] = max((wave[n] + (place[n] >= place[c]) for n in ns), default=0)
+                changed = True
+    return wave
+
+
+def test_waves_equal_brute_force(spark):
+    rnd = random.Random(4)
+    graphs = [{f"c{i}": [f"c{i + 1}"] if i < 200 else [] for i in range(201)}]
+    for _ in range(6):
+        names = [f"c{i}" for i in range(40)]
+        rank = rnd.sample(range(40), 40)
+        below = lambda i: [names[j] for j in rnd.sample(range(40), 3) if rank[j] < rank[i]]
+        graphs.append({n: below(i) for i, n in enumerate(names)})
+    graphs.append({"a": ["b"], "b": ["c"], "c": ["a"], "d": ["a", "e"], "e": ["f"], "f": []})
+    messages = [(k, 1, "assistant", {"tool_calls": [call(c, {"a": 1}, ns) for c, ns in g.items()]}) for k, g in enumerate(graphs)]
+    rows, _ = run(spark, messages)
+    for k, g in enumerate(graphs):
+        wave = waves_of(g)
+        assert {c: r.wave for (conv, c, _), r in rows.items() if conv == k and r.status != "cycle"} == wave
