@@ -10,7 +10,10 @@ seeded hashes, to within one short document.
 Quotas: source weights share the total size; a quota is at most `most_passes` times its source's size, and what is over
 is shared again by weight among the others until none is above.
 
-A null text has size 0. A null source is a source of its own, after all others. Repeated rows count as documents of their
+The driver holds one row per pattern, that is per distinct set of sources, never per document: about 1 KB each while it
+routes, so a million patterns take 1 GB of its memory.
+
+A null text has size 0; a very long text is measured whole by column functions. A null source is a source of its own, after all others. Repeated rows count as documents of their
 own with equal hashes; ties go by id. An empty table gives an empty result; further columns are ignored.
 """
 
@@ -29,8 +32,6 @@ WEIGHTS = (5.0, 2.0, 1.0)
 MOST_PASSES, SEED = 3, 17
 #: Documents in the bucket of a pattern in which its selection ends, about; only that bucket is put in order.
 BUCKET_DOCS = 2000
-#: Sources and patterns are metadata. A corpus with more than this many patterns is refused, not cut.
-MOST_PATTERNS = 200_000
 
 
 def size_of(text: Column) -> Column:
@@ -61,6 +62,40 @@ def quotas(total: float, sizes: list[int], weights: list[float], most_passes: in
 def route(patterns: list[tuple[tuple[int, ...], int]], wanted: list[int], most_passes: int = MOST_PASSES) -> list[dict[int, int]]:
     """Words that each pattern (its sources, its size) gives to each source, at the least cost that meets most of `wanted`.
 
+    Sources that no chain of patterns connects do not compete, so each connected part is a flow of its own; that of a
+    source with one pattern is plain.
+    """
+    parent = list(range(len(wanted)))
+
+    def root(s: int) -> int:
+        while parent[s] != s:
+            parent[s] = parent[parent[s]]
+            s = parent[s]
+        return s
+
+    for sources, _ in patterns:
+        for s in sources[1:]:
+            parent[root(s)] = root(sources[0])
+    parts: dict[int, list[int]] = {}
+    for i, (sources, _) in enumerate(patterns):
+        parts.setdefault(root(sources[0]), []).append(i)
+    out: list[dict[int, int]] = [{} for _ in patterns]
+    for numbers in parts.values():
+        (first, size), *others = (patterns[i] for i in numbers)
+        if not others and len(first) == 1:
+            out[numbers[0]] = {first[0]: min(wanted[first[0]], most_passes * size)}
+            continue
+        names = sorted({s for i in numbers for s in patterns[i][0]})
+        at = {s: k for k, s in enumerate(names)}
+        told = flow([(tuple(at[s] for s in patterns[i][0]), patterns[i][1]) for i in numbers], [wanted[s] for s in names], most_passes)
+        for i, given in zip(numbers, told, strict=True):
+            out[i] = {names[k]: v for k, v in given.items()}
+    return out
+
+
+def flow(patterns: list[tuple[tuple[int, ...], int]], wanted: list[int], most_passes: int = MOST_PASSES) -> list[dict[int, int]]:
+    """The minimum-cost flow of one part.
+
     Successive shortest paths: node 0 is the start, then patterns, then sources, then the end. Pass k of a pattern is an
     arc of its size that costs k * k.
     """
@@ -143,9 +178,7 @@ def mix(docs: DataFrame, membership: Column, weights: tuple[float, ...] = WEIGHT
     sized = docs.select(F.col(id_col).alias("doc_id"), pattern.alias("pattern"), size_of(F.col(text_col)).alias("size"))
     sized = space.write(sized.withColumn("pattern_key", F.to_json("pattern")), "sized")
     counted = sized.groupBy("pattern_key").agg(F.first("pattern").alias("pattern"), F.sum("size").alias("size"), F.count("*").alias("docs"))
-    counted = counted.limit(MOST_PATTERNS + 1).collect()
-    if len(counted) > MOST_PATTERNS:
-        raise ValueError(f"more than {MOST_PATTERNS} membership patterns")
+    counted = counted.collect()
     counted.sort(key=lambda r: [(x is None, x or "") for x in r.pattern])
     names = sorted({x for r in counted for x in r.pattern}, key=lambda x: (x is None, x or ""))
     at = {x: i for i, x in enumerate(names)}
