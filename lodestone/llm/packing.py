@@ -1,6 +1,6 @@
 """Packing whole documents into sequences of a fixed window by non-negative least squares over length combinations.
 
-Three steps, of which only the middle one meets on the driver, with a table whose size is fixed by the window:
+Four steps, of which only the middle two meet on the driver, with a table whose size is fixed by the window:
 
 1. Every document is tokenised once. Its ids (with the end id) are cut at multiples of the window; what remains is its
    tail. A tail keeps the CRC-32 of each of its prefixes at multiples of `unit` ids, so that a later cut at such a place
@@ -8,12 +8,15 @@ Three steps, of which only the middle one meets on the driver, with a table whos
 2. The histogram of tail lengths in units has window / unit entries. Combinations of up to three lengths that fill the
    window are the columns of a non-negative least squares problem whose right side is the histogram; its solution,
    rounded down, says how often to build each combination.
-3. The k-th tail of a length belongs to the combination that claims rank k of that length. Tails that no combination
-   claims are laid end to end and cut where a window ends. Ranks come from counts of (partition, length), so no length
+3. Lengths that are left over are packed greedily: a window takes the longest length that is left and then, again and
+   again, the longest that still fits, as often as their counts allow. Windows that this fills to within `GAP` units are
+   kept; lengths that it cannot fill so are laid end to end and cut where a window ends, which wastes nothing but cuts a text.
+4. The k-th tail of a length belongs to the combination or window that claims rank k of that length. Ranks come from counts of (partition, length), so no length
    is ever gathered in one task, however many documents share it.
 
-Padding is at most unit - 1 ids for each tail, besides the last window. A null text counts as empty (one piece: the end
-id). Repeated rows are documents of their own, an empty table gives an empty result, and other columns are ignored.
+Padding is at most unit - 1 ids for each tail and `GAP` units for each greedy window, besides the last window. Texts that
+hold the vocabulary's end string are tokenised as ordinary text, as its notes recommend. A null text counts as empty (one piece: the end
+id); a very long one is tokenised whole. Ties between equal lengths go by their rank. Repeated rows are documents of their own, an empty table gives an empty result, and other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,6 +33,8 @@ from pyspark.sql import functions as F
 from lodestone.llm.tables import Workspace
 
 WINDOW, UNIT, END_ID = 2048, 8, 1
+#: Units that a greedy window may stay short.
+GAP = 2
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, place int"
 
 
@@ -44,11 +49,11 @@ def combinations(units: int) -> np.ndarray:
     return np.stack([a[keep], b[keep], c[keep]], 1)
 
 
-def solve_counts(histogram: np.ndarray, rows: np.ndarray, most_rounds: int = 400) -> np.ndarray:
+def solve_counts(histogram: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """Non-negative least squares by an active set: the repeat count of each combination that best explains the histogram.
 
     histogram[k] is the number of pieces of k units. The residual is weighed by length, for a long piece that stays over
-    costs more than a short one.
+    costs more than a short one. Every round lowers the sum of squares, so no active set comes back and the rounds end.
     """
     units = len(histogram) - 1
     lengths = np.arange(units + 1)
@@ -61,8 +66,14 @@ def solve_counts(histogram: np.ndarray, rows: np.ndarray, most_rounds: int = 400
     target = histogram * weight
     x, active = np.zeros(len(rows)), np.zeros(len(rows), bool)
     scale = max(1.0, float(np.abs(target).max()))
-    for _ in range(most_rounds):
-        gain = dense.T @ (target - dense @ x)
+    least = np.inf
+    while True:
+        rest = target - dense @ x
+        now = float(rest @ rest)
+        if now >= least * (1 - 1e-12):
+            break
+        least = now
+        gain = dense.T @ rest
         gain[active] = -np.inf
         best = int(gain.argmax())
         if gain[best] <= 1e-6 * scale:
@@ -84,6 +95,33 @@ def solve_counts(histogram: np.ndarray, rows: np.ndarray, most_rounds: int = 400
     return x
 
 
+def greedy(left: np.ndarray, units: int, gap: int = GAP) -> Iterator[tuple[list[int], int]]:
+    """Windows (lengths, repeats) that the lengths left over fill, longest first; `left` is counted down by the caller.
+
+    A step uses a length up or gives it up, so there are fewer steps than lengths, however many pieces there are.
+    """
+    tried = np.zeros(len(left), bool)
+    while True:
+        open_lengths = np.flatnonzero((left > 0) & ~tried)
+        open_lengths = open_lengths[open_lengths > 0]
+        if not len(open_lengths):
+            return
+        chosen, room, count = [int(open_lengths[-1])], units - int(open_lengths[-1]), left.copy()
+        count[chosen[0]] -= 1
+        while room:
+            fits = np.flatnonzero(count[1 : room + 1] > 0)
+            if not len(fits):
+                break
+            chosen.append(int(fits[-1]) + 1)
+            count[chosen[-1]] -= 1
+            room -= chosen[-1]
+        if room > gap:
+            tried[chosen[0]] = True
+            continue
+        parts, need = np.unique(chosen, return_counts=True)
+        yield chosen, int((left[parts] // need).min())
+
+
 class Plan:
     """Which combination claims which ranks of each length; its size is bounded by the window, whatever the corpus."""
 
@@ -94,15 +132,22 @@ class Plan:
         left = histogram.astype(np.int64).copy()
         claims: list[tuple[int, int, int, int, int]] = []  # length, first rank, repeats, first sequence, place
         sequences = 0
-        for p in np.argsort(-wished, kind="stable"):
-            parts, need = np.unique(rows[p][rows[p] > 0], return_counts=True)
-            times = int(min(wished[p], (left[parts] // need).min()))
-            if times <= 0:
-                continue
-            for place, length in enumerate(sorted((int(k) for k in rows[p] if k), reverse=True)):
+
+        def claim(lengths: list[int], times: int) -> None:
+            nonlocal sequences
+            for place, length in enumerate(lengths):
                 claims.append((length, int(histogram[length] - left[length]), times, sequences, place))
                 left[length] -= times
             sequences += times
+
+        for p in np.argsort(-wished, kind="stable"):
+            parts, need = np.unique(rows[p][rows[p] > 0], return_counts=True)
+            times = int(min(wished[p], (left[parts] // need).min()))
+            if times > 0:
+                claim(sorted((int(k) for k in rows[p] if k), reverse=True), times)
+        self.combined = int((histogram - left).sum())
+        for chosen, times in greedy(left, units):
+            claim(chosen, times)
         self.units, self.sequences, self.left = units, sequences, left
         self.used = histogram - left
         claims.sort()
