@@ -84,3 +84,8 @@ def sections(pages: DataFrame, id_col: str, html: str, least: int = 20, most: in
     split = F.split("raw", r"(?i)</h[1-3]>", 2)
     rows = rows.select("id", "section", clean(split[0]).alias("heading"), F.substring(clean(F.coalesce(F.try_element_at(split, F.lit(2)), F.lit(""))), 1, most).alias("body"))
     return rows.where(F.length("body") > least)
+
+
+def newest_first(rows: DataFrame, key: str, order: str, most: int) -> DataFrame:
+    """(key, order): each key at its newest row, the newest keys first; a combined maximum, then a bounded sort."""
+    return rows.groupBy(key).agg(F.max(order).alias(order)).orderBy(F.desc(order), key).limit(most)

@@ -203,19 +203,44 @@ def vector_dedup_pairs(spark, sf):
 
 @query("cluster_mean_similarity", f"WITH {_PAIRS_SQL} SELECT project, count(*) AS pairs, round(avg(cosine), 6) AS mean FROM pairs GROUP BY project")
 def cluster_mean_similarity(spark, sf):
-    return consolidate.similar_pairs(B.vectors(spark, sf), -2.0).groupBy("project").agg(F.count("*").alias("pairs"), F.round(F.avg("cosine"), 6).alias("mean"))
+    return consolidate.mean_similarity(B.vectors(spark, sf)).withColumn("mean", F.round("mean", 6))
 
 
-@query("greedy_clusters_summary")
-def greedy_clusters_summary(spark, sf):
+def _greedy_sql(least: float, size: int, forward: bool) -> str:
+    near = f"near AS (SELECT project, id, list_sort(list(other)) AS near FROM (SELECT project, a AS id, b AS other FROM pairs WHERE round(cosine, 9) >= {least} UNION ALL SELECT project, b, a FROM pairs WHERE round(cosine, 9) >= {least}) GROUP BY 1, 2)"
+    rest = "used" if forward else "list_append(used, id)"
+    return f"""WITH RECURSIVE {_PAIRS_SQL}, {near}, seeds AS (SELECT *, row_number() OVER (PARTITION BY project ORDER BY id) AS n FROM near),
+        walk AS (SELECT DISTINCT project, CAST(0 AS BIGINT) AS n, CAST([] AS BIGINT[]) AS used, CAST(NULL AS BIGINT) AS seed, CAST([] AS BIGINT[]) AS members FROM seeds
+            UNION ALL SELECT project, n, CASE WHEN done THEN used WHEN len(m) >= {size} THEN list_concat(used, m) ELSE {rest} END, id, CASE WHEN NOT done AND len(m) >= {size} THEN m ELSE [] END FROM (
+                SELECT s.project, s.n, s.id, w.used, list_contains(w.used, s.id) AS done, list_concat([s.id], list_filter(s.near, lambda x: NOT list_contains(w.used, x){" AND x > s.id" if forward else ""})) AS m
+                FROM walk w JOIN seeds s ON s.project = w.project AND s.n = w.n + 1))
+        SELECT project, seed, unnest(members) AS id FROM walk WHERE len(members) > 0"""
+
+
+def _clusters(spark, sf, least: float, size: int, forward: bool) -> DataFrame:
     v = B.vectors(spark, sf)
-    return consolidate.greedy_clusters(v, consolidate.similar_pairs(v, 0.30), 3, forward_only=False)
+    return consolidate.greedy_clusters(v, consolidate.similar_pairs(v, least), size, forward_only=forward)
+
+
+# The production rules, which the vectors of the small tables meet seldom, and looser ones that they meet often.
+@query("greedy_clusters_summary", _greedy_sql(0.70, 5, False))
+def greedy_clusters_summary(spark, sf):
+    return _clusters(spark, sf, 0.70, 5, False)
 
 
-@query("greedy_clusters_merge")
+@query("greedy_clusters_merge", _greedy_sql(0.85, 2, True))
 def greedy_clusters_merge(spark, sf):
-    v = B.vectors(spark, sf)
-    return consolidate.greedy_clusters(v, consolidate.similar_pairs(v, 0.35), 2, forward_only=True)
+    return _clusters(spark, sf, 0.85, 2, True)
+
+
+@query("greedy_clusters_summary_loose", _greedy_sql(0.30, 3, False))
+def greedy_clusters_summary_loose(spark, sf):
+    return _clusters(spark, sf, 0.30, 3, False)
+
+
+@query("greedy_clusters_merge_loose", _greedy_sql(0.35, 2, True))
+def greedy_clusters_merge_loose(spark, sf):
+    return _clusters(spark, sf, 0.35, 2, True)
 
 
 @query("literal_match", f"""WITH {RECORDS}, lits AS (SELECT page_id AS query_id, unnest(list_distinct(list_concat(regexp_extract_all(url, '\\bv\\d+\\.\\d+(?:\\.\\d+)?\\b'), regexp_extract_all(url, '\\d+')))) AS lit FROM pages),
@@ -327,37 +352,99 @@ def graph_candidates(spark, sf):
 
 
 def _edges(spark, sf) -> DataFrame:
-    """No oracle: list intersections of 64 candidates a record take SQL minutes on whole tables; tested by brute force."""
     features = graph.features(_graph_records(spark, sf))
     return graph.edges(graph.score_pairs(graph.candidates(features), features))
 
 
-@query("graph_edges")
+_DEPENDS_SQL = " OR ".join(f"contains(lower(body), '{p}')" for p in rules.DEPENDENCE)
+_EDGES_SQL = f"""{_GRAPH_SQL},
+    toks AS (SELECT id, {TOKENS.format("body")} AS t FROM live),
+    grams AS (SELECT id, 1 AS kind, unnest({_word_set_sql("body")}) AS g FROM live
+        UNION ALL SELECT DISTINCT id, 2, unnest(list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1])) FROM toks
+        UNION ALL SELECT DISTINCT id, 3, unnest(list_transform(range(1, len(t) - 1), lambda i: t[i] || ' ' || t[i + 1] || ' ' || t[i + 2])) FROM toks),
+    sizes AS (SELECT id, kind, count(*) AS n FROM grams GROUP BY 1, 2),
+    common AS (SELECT c.src, c.dst, a.kind, count(*) AS n FROM cand c JOIN grams a ON a.id = c.src JOIN grams b ON b.id = c.dst AND b.kind = a.kind AND b.g = a.g GROUP BY 1, 2, 3),
+    lex AS (SELECT x.src, x.dst, sum(CASE x.kind WHEN 1 THEN 0.5 WHEN 2 THEN 0.3 ELSE 0.2 END * x.n / least(a.n, b.n)) AS lexical
+        FROM common x JOIN sizes a ON a.id = x.src AND a.kind = x.kind JOIN sizes b ON b.id = x.dst AND b.kind = x.kind GROUP BY 1, 2),
+    parts AS (SELECT c.src, c.dst, coalesce(l.lexical, 0.0) AS lexical, CASE WHEN lower(a.tags[1]) = lower(b.tags[1]) THEN 1.0 ELSE 0.0 END AS tag,
+        CASE WHEN a.project = b.project AND a.project <> 'general' THEN 1.0 ELSE 0.0 END AS project_score, CASE WHEN a.session = b.session THEN 1.0 ELSE 0.0 END AS session_score,
+        0.5 * greatest(0.0, 1 - abs(coalesce(a.layer, 2) - coalesce(b.layer, 2)) / 3.0) + 0.5 * (a.importance + b.importance) / 10.0 AS structural,
+        a.related = b.id AS is_related, coalesce(a.contradicts = b.id, false) AS contradicted, ({_DEPENDS_SQL.replace("body", "a.body")}) AS depends
+        FROM cand c JOIN live a ON a.id = c.src JOIN live b ON b.id = c.dst LEFT JOIN lex l ON l.src = c.src AND l.dst = c.dst),
+    pair_scores AS (SELECT *, least(1.0, greatest(0.0, 0.45 * lexical + 0.20 * tag + 0.15 * project_score + 0.10 * session_score + 0.05 * structural + 0.05 * CASE WHEN is_related OR contradicted THEN 1.0 ELSE 0.0 END)) AS raw,
+        CASE WHEN contradicted THEN 'contradicts' WHEN depends AND round(lexical, 9) >= 0.14 THEN 'depends_on' WHEN round(lexical, 9) >= 0.25 THEN 'same_topic'
+             WHEN tag >= 0.25 AND round(lexical, 9) >= 0.12 THEN 'supports' WHEN session_score >= 1 THEN 'same_session' ELSE 'same_project' END AS relation FROM parts),
+    strong AS (SELECT src, dst, relation, CASE WHEN relation = 'contradicts' THEN greatest(raw, 0.8) ELSE raw END AS score FROM pair_scores),
+    told AS (SELECT src, dst, relation, score, src AS writer FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY round(score, 9) DESC, relation DESC, dst) AS n FROM strong
+        WHERE round(score, 9) >= CASE relation WHEN 'same_project' THEN 0.30 ELSE 0.18 END) WHERE n <= 8),
+    edges AS (SELECT src, dst, relation, score FROM (SELECT *, row_number() OVER (PARTITION BY src, dst, relation ORDER BY writer DESC) AS n FROM (
+        SELECT * FROM told UNION ALL SELECT dst, src, relation, score, writer FROM told WHERE relation IN ('same_topic', 'same_session', 'same_project'))) WHERE n = 1)"""
+
+
+@query("graph_edges", f"{_EDGES_SQL} SELECT src, dst, relation, round(score, 6) AS score FROM edges")
 def graph_edges(spark, sf):
     return _edges(spark, sf).withColumn("score", F.round("score", 6))
 
 
-@query("graph_stats")
+@query("graph_stats", f"{_EDGES_SQL} SELECT relation, count(*) AS edges, round(avg(score), 6) AS mean FROM edges GROUP BY 1")
 def graph_stats(spark, sf):
     return _edges(spark, sf).groupBy("relation").agg(F.count("*").alias("edges"), F.round(F.avg("score"), 6).alias("mean"))
 
 
-@query("graph_neighbors")
+_NEIGHBOURS_SQL = "SELECT src, dst, relation, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY round(score, 9) DESC, dst, relation) AS rank FROM edges WHERE {0}) WHERE rank <= 3"
+
+
+@query("graph_neighbors", f"{_EDGES_SQL} {_NEIGHBOURS_SQL.format('score >= 0.3')}")
 def graph_neighbors(spark, sf):
     return graph.neighbours(_edges(spark, sf), 3, 0.3).select("src", "dst", "relation", "rank")
 
 
-@query("graph_two_hop")
+@query("graph_two_hop", f"""{_EDGES_SQL}, walked AS (SELECT src, dst, max(score) AS score FROM edges WHERE relation IN ('same_topic', 'supports', 'same_session', 'same_project') GROUP BY 1, 2),
+    seeds AS (SELECT doc_id AS query_id, id FROM live WHERE doc_id % 100 = 0),
+    one AS (SELECT s.query_id, w.dst AS id, max(w.score) AS score FROM seeds s JOIN walked w ON w.src = s.id AND w.score >= 0.18 WHERE w.dst <> s.id GROUP BY 1, 2),
+    two AS (SELECT o.query_id, w.dst AS id, max(w.score) AS score FROM one o JOIN walked w ON w.src = o.id AND w.score >= 0.30
+        WHERE NOT EXISTS (SELECT 1 FROM one p WHERE p.query_id = o.query_id AND p.id = w.dst) AND NOT EXISTS (SELECT 1 FROM seeds s WHERE s.query_id = o.query_id AND s.id = w.dst) GROUP BY 1, 2),
+    seen AS (SELECT query_id, id, 0 AS hop, 1.0 AS score FROM seeds UNION ALL SELECT query_id, id, 1, score FROM one UNION ALL SELECT query_id, id, 2, score FROM two)
+    SELECT query_id, id, hop, CAST(place AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY hop, round(score, 9) DESC, id) AS place FROM seen) WHERE place <= 20""")
 def graph_two_hop(spark, sf):
     seeds = _graph_records(spark, sf).where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), "id")
     return graph.expand(seeds, _edges(spark, sf)).select("query_id", "id", "hop", "place")
 
 
-@query("graph_audit")
+@query("graph_audit", f"""{_EDGES_SQL}, ends AS (SELECT src AS id FROM edges UNION ALL SELECT dst FROM edges)
+    SELECT 'orphan' AS finding, id FROM live WHERE id NOT IN (SELECT id FROM ends)
+    UNION ALL SELECT DISTINCT 'dangling', src || '>' || dst || ':' || relation FROM edges WHERE src NOT IN (SELECT id FROM live) OR dst NOT IN (SELECT id FROM live)
+    UNION ALL SELECT 'one_way', src || '>' || dst || ':' || relation FROM edges e WHERE relation IN ('same_topic', 'same_session', 'same_project') AND NOT EXISTS (SELECT 1 FROM edges b WHERE b.src = e.dst AND b.dst = e.src AND b.relation = e.relation)
+    UNION ALL SELECT 'hub', id FROM ends GROUP BY id HAVING count(*) >= 20
+    UNION ALL SELECT 'low_confidence', src || '>' || dst || ':' || relation FROM edges WHERE score < 0.18""")
 def graph_audit(spark, sf):
     return graph.audit(_edges(spark, sf), _graph_records(spark, sf))
 
 
+_HUMAN_SQL = "relation IN ('same_topic', 'supports', 'depends_on', 'same_session')"
+
+
+@query("graph_suggestions", f"{_EDGES_SQL} {_NEIGHBOURS_SQL.format(_HUMAN_SQL)}")
+def graph_suggestions(spark, sf):
+    return graph.suggestions(_edges(spark, sf)).select("src", "dst", "relation", "rank")
+
+
+@query("graph_report", f"{_EDGES_SQL}, n AS ({_NEIGHBOURS_SQL.format('true').replace('relation, CAST', 'relation, score, CAST')}) SELECT src AS id, string_agg('- ' || dst || ' (' || relation || ', ' || CAST(floor(round(score, 9) * 100) AS INTEGER) || ' %' || ')', chr(10) ORDER BY rank) AS report FROM n GROUP BY 1")
+def graph_report(spark, sf):
+    return graph.report(_edges(spark, sf), 3)
+
+
+@query("graph_refresh", f"{_EDGES_SQL} SELECT src, dst, relation, round(score, 6) AS score FROM edges WHERE substr(src, 8) = '7' OR substr(dst, 8) = '7'")
+def graph_refresh(spark, sf):
+    """Edges of some records dropped and made again equal those of a full run."""
+    features = graph.features(_graph_records(spark, sf))
+    pairs = graph.candidates(features)
+    whole = graph.edges(graph.score_pairs(pairs, features))
+    touched = features.where("substr(id, 8) = '7'").select("id")
+    fresh = graph.refresh(whole, touched, pairs, features)
+    return fresh.where("substr(src, 8) = '7' OR substr(dst, 8) = '7'").withColumn("score", F.round("score", 6))
+
+
 # --- dedup, store, decay ----------------------------------------------------------------------------------------------
 
 
@@ -551,7 +638,11 @@ def char_budget(spark, sf):
     return sessions.within_budget(t, "session", F.length("text"), 1500, F.col("pos")).select("session", "pos", F.col("used").cast("long").alias("used"))
 
 
-@query("digest_budget")
+@query("digest_budget", """WITH RECURSIVE t AS (SELECT conv_id AS session, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) AS n, count(*) OVER (PARTITION BY conv_id) AS total FROM conversations),
+    g AS (SELECT DISTINCT session, CAST(0 AS BIGINT) AS n, total, CAST(0 AS BIGINT) AS lines, CAST(0 AS BIGINT) AS used, CAST(0 AS BIGINT) AS dropped FROM t
+        UNION ALL SELECT session, n, total, lines + fits, used + CASE WHEN fits = 1 THEN size ELSE 0 END, dropped + 1 - fits FROM (
+            SELECT t.session, t.n, t.total, g.lines, g.used, g.dropped, length(t.text) + 1 AS size, CASE WHEN g.used + length(t.text) + 1 <= 600 THEN 1 ELSE 0 END AS fits FROM g JOIN t ON t.session = g.session AND t.n = g.n + 1))
+    SELECT session, CAST(lines AS INTEGER) AS lines, CAST(used AS INTEGER) AS used, CAST(dropped AS INTEGER) AS dropped FROM g WHERE n = total""")
 def digest_budget(spark, sf):
     return sessions.fitting(B.turns(spark, sf), "session", 600, "pos", "text").select("session", F.size("kept").alias("lines"), "used", "dropped")
 
@@ -656,3 +747,7 @@ def relevance_classes(spark, sf):
     # Pairs meet on a shared word; a text that contains another shares its words.
     met = words(a, "a", "x").join(words(b, "b", "y"), "w").where("a <> b").select("a", "b").distinct()
     return met.join(a, "a").join(b, "b").where(rules.lesson_applies(F.col("x"), F.col("y"))).select("a", "b")
+
+
+# Queries of the further modules register themselves on import.
+from lodestone.plans import ledger_queries as _ledger_queries  # noqa: E402, F401
