@@ -138,11 +138,14 @@ def purge_plan(records: DataFrame, markers: tuple[str, ...], keep: DataFrame) ->
 
 
 def index_lines(records: DataFrame) -> DataFrame:
-    """(project, records, lines): for each project its records' lines, newest first."""
+    """(project, place, id, line): the index as rows, a line for each record, by project with the newest first.
+
+    A writer that wants a file writes rows in this order; no project's lines are gathered in one row.
+    """
     day = F.date_format("created_at", "yyyy-MM-dd")
     line = F.concat(F.lit("- ["), F.col("title"), F.lit("] ("), F.col("id"), F.lit(", "), day, F.lit(")"))
-    listed = F.sort_array(F.collect_list(F.struct(day.alias("day"), F.col("id"), line.alias("line"))), asc=False)
-    return records.groupBy("project").agg(F.count("*").alias("records"), F.array_join(F.transform(listed, lambda x: x["line"]), "\n").alias("lines"))
+    place = F.row_number().over(Window.partitionBy("project").orderBy(F.desc(day), F.desc("id")))
+    return records.select("project", place.alias("place"), "id", line.alias("line"))
 
 
 def playbook_due(records: DataFrame, hashes: DataFrame, least: int = 5) -> DataFrame:

@@ -125,7 +125,14 @@ def bump(events: DataFrame, key: str, ts: str) -> DataFrame:
     return events.groupBy(key).agg(F.count("*").alias("access_count"), F.max(ts).alias("last_accessed"))
 
 
-def content_hash(records: DataFrame, by: str = "project") -> DataFrame:
-    """A hash of each group's records that does not depend on their order."""
-    lines = F.array_sort(F.collect_list(F.concat("id", F.lit(":"), "essence", F.lit("\n"))))
-    return records.groupBy(by).agg(F.sha2(F.array_join(lines, ""), 256).alias("source_hash"), F.count("*").alias("records"))
+def content_hash(records: DataFrame, by: str = "project", buckets: int = 4096) -> DataFrame:
+    """A hash of each group's records that does not depend on their order, and their number.
+
+    Each record is hashed where it lies (id and text); a group's records are hashed by bucket of their id, and the ordered
+    hashes of its buckets once more. So no text leaves its row and no group is one row of texts, whatever its size; a change
+    of any record changes the group's hash, which is all that it is for.
+    """
+    one = records.select(by, F.pmod(F.crc32("id"), F.lit(buckets)).alias("bucket"), F.struct("id", F.sha2(F.concat("id", F.lit(":"), "essence", F.lit("\n")), 256).alias("h")).alias("r"))
+    hashes = lambda xs: F.sha2(F.array_join(F.transform(F.array_sort(xs), lambda x: x["h"]), ""), 256)
+    part = one.groupBy(by, "bucket").agg(hashes(F.collect_list("r")).alias("h"), F.count("*").alias("n"))
+    return part.groupBy(by).agg(hashes(F.collect_list(F.struct("bucket", "h"))).alias("source_hash"), F.sum("n").alias("records"))

@@ -74,6 +74,14 @@ def _bm25_sql(words: str, query_words: str, k1: float, b: float, floor: float |
             FROM asked a JOIN idf USING (term) JOIN tf USING (term), stats s GROUP BY 1, 2 {need})"""
 
 
+def _crc_step(c: str = "c", y: str = "y") -> str:
+    """One byte y of a CRC-32 with register c, bit by bit."""
+    out = f"xor({c}, {y})"
+    for _ in range(8):
+        out = f"list_transform([{out}], lambda v: xor(v // 2, (v % 2) * 3988292384))[1]"
+    return out
+
+
 # --- retrieval --------------------------------------------------------------------------------------------------------
 
 
@@ -176,11 +184,25 @@ def temporal_boost(spark, sf):
     return search.best(j, 1 << 30, F.desc("score"), F.col("id"))
 
 
-@query("mmr_rerank")
+_MMR_SQL = f"""{_FUSED_SQL.replace("WITH sized", "WITH RECURSIVE sized", 1)},
+    items AS (SELECT query_id, id, norm, CAST(e.embedding AS DOUBLE[]) AS v, row_number() OVER (PARTITION BY query_id ORDER BY norm DESC, id) AS p, count(*) OVER (PARTITION BY query_id) AS n
+        FROM (SELECT query_id, id, {_NORM_SQL} AS norm FROM pool WINDOW w AS (PARTITION BY query_id)) LEFT JOIN embeddings e ON e.vec_id = id),
+    likes AS (SELECT a.query_id, a.p, list(coalesce(list_cosine_similarity(a.v, b.v), 0.0) ORDER BY b.p) AS likes FROM items a JOIN items b USING (query_id) GROUP BY 1, 2),
+    norms AS (SELECT query_id, any_value(n) AS n, list(norm ORDER BY p) AS norms FROM items GROUP BY 1),
+    walk AS (SELECT l.query_id, n, norms, CAST(1 AS BIGINT) AS place, CAST(1 AS BIGINT) AS pick, [CAST(1 AS BIGINT)] AS used, l.likes AS near FROM likes l JOIN norms USING (query_id) WHERE l.p = 1
+        UNION ALL SELECT x.query_id, n, norms, place + 1, pos, list_append(used, pos), list_transform(range(1, n + 1), lambda i: greatest(near[i], l.likes[i])) FROM (
+            SELECT *, CASE WHEN n <= 8 THEN place + 1 ELSE CAST(list_position(gains, list_max(gains)) AS BIGINT) END AS pos FROM (
+                SELECT *, list_transform(range(1, n + 1), lambda i: CASE WHEN list_contains(used, i) THEN -1e9 ELSE round(0.7 * norms[i] - 0.3 * near[i], 12) END) AS gains FROM walk WHERE place < least(8, n))) x
+            JOIN likes l ON l.query_id = x.query_id AND l.p = x.pos)
+    SELECT w.query_id, i.id, round(i.norm, 6) AS score, CAST(w.place AS INTEGER) AS place FROM walk w JOIN items i ON i.query_id = w.query_id AND i.p = w.pick"""
+
+
+@query("mmr_rerank", _MMR_SQL)
 def mmr_rerank(spark, sf):
     pool = _pool(spark, sf).withColumnRenamed("rank", "r")
     v = B.vectors(spark, sf).select("id", "vector")
-    return search.diversify(search.normalised(pool).drop("score").withColumnRenamed("norm", "score").join(v, "id", "left"))
+    picked = search.diversify(search.normalised(pool).drop("score").withColumnRenamed("norm", "score").join(v, "id", "left"))
+    return picked.withColumn("score", F.round("score", 6))
 
 
 @query("cosine_topk", """WITH s AS (SELECT q.vec_id AS query_id, c.vec_id AS id, list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])) AS score
@@ -552,7 +574,10 @@ def reconcile_ops(spark, sf):
     return store.reconcile(decisions, targets).select("session", "index", "op", "target", "effect")
 
 
-@query("project_hash", "SELECT source AS project, sha256(array_to_string(list_sort(list(lpad(lower(to_hex(doc_id)), 8, '0') || ':' || text || chr(10))), '')) AS source_hash, count(*) AS records FROM documents GROUP BY source")
+@query("project_hash", f"""WITH {RECORDS}, b AS (SELECT project, id, sha256(id || ':' || essence || chr(10)) AS h FROM records),
+    x AS (SELECT project, id, h, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(1, 9), lambda i: CAST(ascii(id[i]) AS BIGINT))), lambda c, y: {_crc_step()}) AS crc FROM b),
+    p AS (SELECT project, xor(crc, CAST(4294967295 AS BIGINT)) % 4096 AS bucket, sha256(string_agg(h, '' ORDER BY id)) AS h, count(*) AS n FROM x GROUP BY 1, 2)
+    SELECT project, sha256(string_agg(h, '' ORDER BY bucket)) AS source_hash, CAST(sum(n) AS BIGINT) AS records FROM p GROUP BY 1""")
 def project_hash(spark, sf):
     return store.content_hash(B.records(spark, sf))
 
@@ -722,7 +747,8 @@ def layer_batches(spark, sf):
     return maintenance.batches(B.records(spark, sf), "project", 20).select("id", "project", "batch")
 
 
-@query("index_lines", f"""WITH {RECORDS} SELECT project, count(*) AS records, string_agg('- [' || title || '] (' || id || ', ' || strftime(created_at, '%Y-%m-%d') || ')', chr(10) ORDER BY strftime(created_at, '%Y-%m-%d') DESC, id DESC) AS lines FROM records GROUP BY project""")
+@query("index_lines", f"""WITH {RECORDS} SELECT project, CAST(row_number() OVER (PARTITION BY project ORDER BY strftime(created_at, '%Y-%m-%d') DESC, id DESC) AS INTEGER) AS place, id,
+    '- [' || title || '] (' || id || ', ' || strftime(created_at, '%Y-%m-%d') || ')' AS line FROM records""")
 def index_lines(spark, sf):
     return maintenance.index_lines(B.records(spark, sf))
 

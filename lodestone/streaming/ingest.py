@@ -9,17 +9,97 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from lodestone.functions import identity
+
+#: Days for which the state of a silent key is kept.
+KEPT_DAYS = 30
 MESSAGE = "type string, uuid string, sessionId string, timestamp string, role string, text string, content string, message struct<role:string,content:string>"
 
 
 def transcript_lines(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
-    """Lines of append-only JSONL transcripts as a stream: line, file."""
+    """Lines of JSONL files that do not grow, as a stream: line, file. Spark reads each file once; for files that grow, see
+    `appended` and `advance`."""
     reader = spark.readStream.format("text")
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
     return reader.load(path).select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("file"))
 
 
+def appended(spark: SparkSession, path: str, offsets: DataFrame | None) -> DataFrame:
+    """(file, offset, line): what files have gained beyond their offsets (file, offset), by whole lines, and the new offset.
+
+    Files that have not grown are left out by their length, before their content is read. A last line without its end stays
+    for later. A file that is now shorter than its offset was written anew and is read from its start.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").load(path)
+    known = files.select(F.col("path").alias("file"), "length", "content")
+    if offsets is None:
+        known = known.withColumn("offset", F.lit(0).cast("long"))
+    else:
+        known = known.join(offsets.select("file", "offset"), "file", "left").withColumn("offset", F.coalesce("offset", F.lit(0).cast("long")))
+    grown = known.where(F.col("length") != F.col("offset")).withColumn("since", F.when(F.col("length") < F.col("offset"), 0).otherwise(F.col("offset")))
+    more = F.substring("content", F.col("since").cast("int") + 1, F.length("content").cast("int")).cast("string")
+    whole = grown.select("file", "since", F.regexp_extract(more, r"(?s)\A(.*\n)", 1).alias("text")).where("text <> ''")
+    told = whole.select("file", (F.col("since") + F.octet_length("text")).alias("offset"), F.explode(F.split("text", "\n")).alias("line"))
+    return told.where("line <> ''")
+
+
+def advance(spark: SparkSession, path: str, state: str, work: Callable[[DataFrame, int], None]) -> int:
+    """One pass over grown files: `work` gets their new lines and the pass's number, and only when it has ended well do the
+    offsets under `state` move on. A pass that fails is given the same lines again; returns the number of files that grew."""
+    done = latest(spark, state)
+    number = _versions(spark, state)[-1] + 1 if done is not None else 0
+    lines = appended(spark, path, done)
+    reached = lines.groupBy("file").agg(F.max("offset").alias("offset")).collect()  # one row for each file that grew
+    if not reached:
+        return 0
+    work(lines.select("line", "file"), number)
+    moved = spark.createDataFrame([(r.file, r.offset) for r in reached], "file string, offset long")
+    rest = done.join(moved.select("file"), "file", "left_anti") if done is not None else moved.limit(0)
+    rest.unionByName(moved).write.mode("overwrite").parquet(f"{state}/v={number}")
+    return len(reached)
+
+
+def reopened(files: DataFrame, state: DataFrame) -> DataFrame:
+    """Sessions (session, size) that were done but have grown past their offset: late rows open them again."""
+    done = state.where("status = 'complete'").select("session", "offset_bytes")
+    return files.join(done, "session").where(F.col("size") > F.coalesce("offset_bytes", F.lit(0))).select("session", "offset_bytes", "size")
+
+
+def stale(files: DataFrame, mined: DataFrame, now: Column, quiet_seconds: int = 600, most: int = 3) -> DataFrame:
+    """Unmined files (session, modified) that have been quiet, the oldest first, at most `most` a trigger."""
+    quiet = F.unix_seconds(now.cast("timestamp")) - F.unix_seconds(F.col("modified").cast("timestamp")) >= quiet_seconds
+    return files.where(quiet).join(mined.select("session"), "session", "left_anti").orderBy("modified", "session").limit(most)
+
+
+def counted(path: str, every: int, start: Callable[[int], None], found: str = "found") -> Callable[[DataFrame, int], None]:
+    """A foreachBatch effect that counts productive deltas and calls `start` for every `every`th, keeping the rest.
+
+    The count is written by batch number, so a batch that is repeated counts once; `start` must bear being called again.
+    """
+
+    def effect(batch: DataFrame, number: int) -> None:
+        before = latest(batch.sparkSession, path, number)
+        total = (before.first()[0] if before is not None else 0) + batch.where(F.col(found) > 0).count()
+        for _ in range(total // every):
+            start(number)
+        batch.sparkSession.createDataFrame([(total % every,)], "n long").write.mode("overwrite").parquet(f"{path}/v={number}")
+
+    return effect
+
+
+def episodes(turns: DataFrame) -> DataFrame:
+    """(id, session, title, essence, updated_at): one record for each session, under the same id however often it is made.
+
+    The title is the first user message, the essence the turns as text; a summary of it is the caller's.
+    """
+    ordered = F.array_sort(F.collect_list(F.struct("ts", "uuid", "role", "text")))
+    users = F.filter(ordered, lambda x: x["role"] == "user")
+    said = F.array_join(F.transform(ordered, lambda x: F.concat(x["role"], F.lit(": "), x["text"])), "\n\n")
+    made = turns.groupBy("session").agg(F.substring(F.try_element_at(users, F.lit(1))["text"], 1, 120).alias("title"), said.alias("essence"), F.max("ts").alias("updated_at"))
+    return made.select(identity.uuid5(F.concat(F.lit("episode:"), F.col("session"))).alias("id"), "session", F.coalesce("title", F.lit("")).alias("title"), "essence", "updated_at")
+
+
 def parsed(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(turns, rejected): user, assistant and system turns with text; lines that are no JSON objects go to a quarantine."""
     v = lines.withColumn("j", F.from_json("line", MESSAGE, {"mode": "PERMISSIVE"}))
@@ -48,10 +128,16 @@ def daily(events: DataFrame, ts: str, *keys: str, late: str = "1 day") -> DataFr
     return events.withWatermark(ts, late).groupBy(F.window(ts, "1 day").alias("w"), *keys).agg(F.count("*").alias("n")).select(F.col("w.start").alias("day"), *keys, "n")
 
 
-def backoff(batches: DataFrame, key: str, found: str, empties: int = 3, skip: int = 5) -> DataFrame:
-    """For each delta (key, seq, found): whether to work on it. After `empties` deltas without a find, `skip` are passed over."""
+def backoff(batches: DataFrame, key: str, found: str, empties: int = 3, skip: int = 5, kept_days: int = KEPT_DAYS) -> DataFrame:
+    """For each delta (key, seq, found): whether to work on it. After `empties` deltas without a find, `skip` are passed over.
+
+    The state of a key that has been silent for `kept_days` is dropped.
+    """
 
     def step(k: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         streak, passing = state.get if state.exists else (0, 0)
         for pdf in pdfs:
             out = []
@@ -66,24 +152,30 @@ def backoff(batches: DataFrame, key: str, found: str, empties: int = 3, skip: in
                 out.append((k[0], int(row.seq), work))
             yield pd.DataFrame(out, columns=[key, "seq", "work"])
         state.update((streak, passing))
+        state.setTimeoutDuration(kept_days * 86_400_000)
 
     kind = batches.schema[key].dataType.simpleString()
-    return batches.select(key, "seq", found).groupBy(key).applyInPandasWithState(step, f"{key} {kind}, seq long, work boolean", "streak int, passing int", "append", GroupStateTimeout.NoTimeout)
+    return batches.select(key, "seq", found).groupBy(key).applyInPandasWithState(step, f"{key} {kind}, seq long, work boolean", "streak int, passing int", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
-def moving_average(events: DataFrame, key: str, outcome: str, keep: float = 0.7) -> DataFrame:
-    """The moving average of outcomes (key, seq, outcome) after each batch, kept as state."""
+def moving_average(events: DataFrame, key: str, outcome: str, keep: float = 0.7, kept_days: int = KEPT_DAYS) -> DataFrame:
+    """The moving average of outcomes (key, seq, outcome) after each batch, kept as state until a key has been silent for
+    `kept_days`."""
 
     def step(k: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         score = state.get[0] if state.exists else 0.0
         for pdf in pdfs:
             for x in pdf.sort_values("seq")[outcome]:
                 score = keep * score + (1 - keep) * float(x)
         state.update((score,))
+        state.setTimeoutDuration(kept_days * 86_400_000)
         yield pd.DataFrame({key: [k[0]], "score": [score]})
 
     kind = events.schema[key].dataType.simpleString()
-    return events.select(key, "seq", outcome).groupBy(key).applyInPandasWithState(step, f"{key} {kind}, score double", "score double", "update", GroupStateTimeout.NoTimeout)
+    return events.select(key, "seq", outcome).groupBy(key).applyInPandasWithState(step, f"{key} {kind}, score double", "score double", "update", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def upsert_into(path: str, key: list[str], order: Column, work: Callable[[DataFrame], DataFrame] | None = None) -> Callable[[DataFrame, int], None]:
@@ -103,11 +195,17 @@ def upsert_into(path: str, key: list[str], order: Column, work: Callable[[DataFr
     return effect
 
 
-def latest(spark: SparkSession, path: str, below: int | None = None) -> DataFrame | None:
-    """The newest version under path (below a number), None without one."""
+def _versions(spark: SparkSession, path: str) -> list[int]:
     jvm = spark._jvm
     root = jvm.org.apache.hadoop.fs.Path(path)
     fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    numbers = [int(s.getPath().getName()[2:]) for s in fs.listStatus(root) if s.getPath().getName().startswith("v=")] if fs.exists(root) else []
-    numbers = [n for n in numbers if below is None or n < below]
-    return spark.read.parquet(f"{path}/v={max(numbers)}") if numbers else None
+    if not fs.exists(root):
+        return []
+    whole = [s.getPath() for s in fs.listStatus(root) if s.getPath().getName().startswith("v=")]
+    return sorted(int(p.getName()[2:]) for p in whole if fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+
+
+def latest(spark: SparkSession, path: str, below: int | None = None) -> DataFrame | None:
+    """The newest finished version under path (below a number), None without one."""
+    numbers = [n for n in _versions(spark, path) if below is None or n < below]
+    return spark.read.parquet(f"{path}/v={numbers[-1]}") if numbers else None
