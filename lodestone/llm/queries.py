@@ -80,6 +80,32 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm import collocations
+
+    return collocations.mine(read_table(spark, sf_dir, "documents"))
+
+
+def op12_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm import periodic
+
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    made = docs.withColumn("text", periodic.planted(F.col("doc_id"), F.col("text")))
+    return periodic.digest(periodic.detect(made))
+
+
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from lodestone.llm import tokenfiles
+    from lodestone.llm.tables import Workspace
+
+    space = Workspace(spark, "tokens")
+    path = f"{space.root}/ids"
+    tokenfiles.write(read_table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
+    return tokenfiles.documents(spark, path)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_topk": op1_topk,
     "op2_packing": op2_packing,
@@ -91,6 +117,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": op8_pii,
     "op9_audio": op9_audio,
     "op10_near_duplicates": op10_near_duplicates,
+    "op11_collocations": op11_collocations,
+    "op12_periodic": op12_periodic,
+    "op13_token_files": op13_token_files,
 }
 
 ORACLE: dict[str, str] = {
