@@ -154,4 +154,36 @@ ORACLE: dict[str, str] = {
                || CASE WHEN r.text IS NULL THEN 'null' ELSE CAST(to_json(r.text) AS VARCHAR) END || '}' AS json
         FROM calls c LEFT JOIN replies r ON r.conv_id = c.conv_id AND r.turn = c.turn + 1
     """,
+    "op11_collocations": """
+        WITH pieces AS (
+            SELECT lang, list_filter(string_split_regex(piece, '[\\x20\\x09]+'), lambda x: x <> '') AS w FROM (
+                SELECT coalesce(lang, 'und') AS lang,
+                       unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece
+                FROM documents
+            )
+        ), counts AS (
+            SELECT lang, k, phrase, count(*) AS f FROM (
+                SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase
+                FROM pieces, (VALUES (1), (2), (3), (4)) v(k)
+            ) GROUP BY ALL
+        ), totals AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM counts WHERE k = 1 GROUP BY lang),
+        frequent AS (SELECT *, string_split(phrase, ' ') AS w FROM counts WHERE f >= 30),
+        cuts AS (
+            SELECT lang, phrase, k, f AS a, cut, array_to_string(w[1:cut], ' ') AS head, array_to_string(w[cut + 1:k], ' ') AS rest
+            FROM (SELECT *, unnest(range(1, k)) AS cut FROM frequent WHERE k > 1)
+        ), scored AS (
+            SELECT c.lang, c.phrase, c.k, c.a, h.f AS l, r.f AS r, CAST(CAST(2000000 AS HUGEINT) * c.a // (h.f + r.f) AS BIGINT) AS score,
+                   row_number() OVER (PARTITION BY c.lang, c.phrase ORDER BY CAST(2000000 AS HUGEINT) * c.a // (h.f + r.f), cut) AS best
+            FROM cuts c JOIN frequent h ON h.lang = c.lang AND h.phrase = c.head JOIN frequent r ON r.lang = c.lang AND r.phrase = c.rest
+        ), inner_phrases AS (
+            SELECT lang, phrase, max(f) AS longer FROM (
+                SELECT lang, f, unnest(list_transform(range(1, k - m + 2), lambda s: array_to_string(w[s:s + m - 1], ' '))) AS phrase
+                FROM frequent, (VALUES (2), (3)) v(m) WHERE m < k
+            ) GROUP BY lang, phrase
+        )
+        SELECT lang, rank, phrase, a, l, r, n, score FROM (
+            SELECT s.*, row_number() OVER (PARTITION BY s.lang ORDER BY score DESC, a DESC, s.phrase) AS rank
+            FROM scored s LEFT JOIN inner_phrases i ON i.lang = s.lang AND i.phrase = s.phrase WHERE best = 1 AND (longer IS NULL OR 100 * longer < 80 * a)
+        ) JOIN totals USING (lang) WHERE rank <= 2000
+    """,
 }
