@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from lodestone.functions import identity
+from lodestone.streaming import growing
 
 #: Days for which the state of a silent key is kept.
 KEPT_DAYS = 30
@@ -26,38 +28,39 @@ def transcript_lines(spark: SparkSession, path: str, files_per_trigger: int | No
 
 
 def appended(spark: SparkSession, path: str, offsets: DataFrame | None) -> DataFrame:
-    """(file, offset, line): what files have gained beyond their offsets (file, offset), by whole lines, and the new offset.
-
-    Files that have not grown are left out by their length, before their content is read. A last line without its end stays
-    for later. A file that is now shorter than its offset was written anew and is read from its start.
-    """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").load(path)
-    known = files.select(F.col("path").alias("file"), "length", "content")
-    if offsets is None:
-        known = known.withColumn("offset", F.lit(0).cast("long"))
-    else:
-        known = known.join(offsets.select("file", "offset"), "file", "left").withColumn("offset", F.coalesce("offset", F.lit(0).cast("long")))
-    grown = known.where(F.col("length") != F.col("offset")).withColumn("since", F.when(F.col("length") < F.col("offset"), 0).otherwise(F.col("offset")))
-    more = F.substring("content", F.col("since").cast("int") + 1, F.length("content").cast("int")).cast("string")
-    whole = grown.select("file", "since", F.regexp_extract(more, r"(?s)\A(.*\n)", 1).alias("text")).where("text <> ''")
-    told = whole.select("file", (F.col("since") + F.octet_length("text")).alias("offset"), F.explode(F.split("text", "\n")).alias("line"))
-    return told.where("line <> ''")
+    """(file, offset, line): what files have gained beyond their offsets (file, offset), by whole lines, each with the place
+    after it. Only what is new is read, see `growing`; the driver holds one length for each file."""
+    since = {r.file: r.offset for r in offsets.select("file", "offset").collect()} if offsets is not None else {}
+    return growing.tail(spark, path, since).select("file", F.col("ends").alias("offset"), "line")
 
 
 def advance(spark: SparkSession, path: str, state: str, work: Callable[[DataFrame, int], None]) -> int:
-    """One pass over grown files: `work` gets their new lines and the pass's number, and only when it has ended well do the
-    offsets under `state` move on. A pass that fails is given the same lines again; returns the number of files that grew."""
-    done = latest(spark, state)
-    number = _versions(spark, state)[-1] + 1 if done is not None else 0
-    lines = appended(spark, path, done)
-    reached = lines.groupBy("file").agg(F.max("offset").alias("offset")).collect()  # one row for each file that grew
-    if not reached:
-        return 0
-    work(lines.select("line", "file"), number)
-    moved = spark.createDataFrame([(r.file, r.offset) for r in reached], "file string, offset long")
-    rest = done.join(moved.select("file"), "file", "left_anti") if done is not None else moved.limit(0)
-    rest.unionByName(moved).write.mode("overwrite").parquet(f"{state}/v={number}")
-    return len(reached)
+    """One pass over grown files: `work` gets their new lines (line, file) and the pass's number.
+
+    What a pass reads is fixed in the checkpoint under `state` before it runs. A pass that fails is given the same lines
+    and number again, whatever the files have gained since; a pass that ended well is not repeated. Returns the number of
+    files with new lines.
+    """
+    grown, failed = [0], []
+
+    def effect(batch: DataFrame, number: int) -> None:
+        files = batch.select("file").distinct().count()
+        if files:
+            try:
+                work(batch.select("line", "file"), number)
+            except Exception as e:
+                failed.append(e)
+                raise
+        grown[0] += files
+
+    query = growing.stream(spark, path).writeStream.foreachBatch(effect).option("checkpointLocation", state).trigger(availableNow=True).start()
+    try:
+        query.awaitTermination()
+    except StreamingQueryException:
+        if failed:
+            raise failed[-1] from None
+        raise
+    return grown[0]
 
 
 def reopened(files: DataFrame, state: DataFrame) -> DataFrame:
