@@ -13,9 +13,9 @@ Texts are dealt by range of their ids once and tokenised where they are sorted,
 one hot document id are spread over parts by the hash, and no part is held whole: it is sorted by Spark, which spills, and
 its ids are written as they come.
 
-Byte-level BPE never joins across a space that follows a character other than white space. Texts are cut there, and each
-different piece is encoded once in a batch and kept for the next ones (a bounded cache). Texts with two characters of white
-space around such a cut, where that does not hold, are encoded whole. Either way the ids are those of the whole text.
+Byte-level BPE first splits a text into words, and no word of it goes on over white space that follows another character,
+or from a letter to a stop. Texts are cut there, and each different piece is encoded once in a batch and kept for the next
+ones (a bounded cache). The ids are those of the whole text.
 
 A null or empty text has the end id alone. Very long texts are a part of a batch of their own and one row. Repeated rows
 are documents of their own, next to each other; rows of one id with different texts go by hash. Rows without an id come
@@ -27,10 +27,10 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -39,67 +39,79 @@ from lodestone.llm import words
 END_ID = 2
 #: Rows of a row group, bytes of a stripe.
 STRIDE, STRIPE = 1000, 32 << 20
-#: Pieces kept from batch to batch, and bytes of the longest of them.
-CACHED, LONGEST = 200_000, 64
-#: A cut between a space and its neighbours is not safe here; the class holds more than white space, which is harmless.
-UNSAFE = r"[\s\x0b\pZ\pC] ([\s\x0b\pZ\pC]|\z)"
+#: Pieces kept from batch to batch, and the mean length up to which those of a batch are kept.
+CACHED, LONGEST = 600_000, 64
+#: Bytes of the texts that are encoded together.
+TOGETHER = 4_000_000
+
+_BLANK, _STOP, _LETTER = np.zeros((3, 256), bool)
+_BLANK[[0x20, *range(0x09, 0x0E)]] = True
+_STOP[[*b".,;:!?"]] = True
+_LETTER[[*range(ord("A"), ord("Z") + 1), *range(ord("a"), ord("z") + 1)]] = True
+
+
+def boundaries(data: np.ndarray) -> np.ndarray:
+    """Places in UTF-8 bytes, in order, where no id reaches across: before ASCII white space that follows a character other
+    than white space, and before a stop that follows an ASCII letter."""
+    before, here = data[:-1], data[1:]
+    cut = (_BLANK[here] & (before > 0x20)) | (_STOP[here] & _LETTER[before])
+    at = np.flatnonzero(cut) + 1
+    # White space beyond ASCII is two bytes after 0xC2, or three after 0xE1 to 0xE3; what else these are does no harm.
+    one, two, three = data[at - 1], data[np.maximum(at - 2, 0)], data[np.maximum(at - 3, 0)]
+    wide = ((two == 0xC2) & (one >= 0x80)) | ((three >= 0xE1) & (three <= 0xE3) & (two >= 0x80) & (one >= 0x80))
+    return at[~wide]
 
 
 class Encoder:
-    """Ids of many texts at once, by the tokenizers library."""
+    """Ids of many texts at once, by the tokenizers library; ids of short pieces are kept, the first `CACHED` of them."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, np.ndarray] = {}
-
-    def _ids(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _pieces(self, pieces: list[str]) -> list[np.ndarray]:
-        new = [p for p in pieces if p not in self.known]
-        made = dict(zip(new, self._ids(new), strict=True))
-        out = [made[p] if p in made else self.known[p] for p in pieces]
-        if len(self.known) + len(made) > CACHED:
-            self.known.clear()
-        self.known |= {p: ids for p, ids in list(made.items())[:CACHED] if len(p) <= LONGEST}
-        return out
+        self.known: dict[str, int] = {}
+        self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
+        self.at, self.size = np.zeros(CACHED, np.int64), np.zeros(CACHED, np.int64)
+
+    def _pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids of each piece begin in `self.ids`, and how many there are."""
+        index = np.fromiter(map(self.known.get, pieces, repeat(-1)), np.int64, len(pieces))
+        at, size = self.at[index], self.size[index]
+        places = np.flatnonzero(index < 0)
+        if len(places):
+            new = [pieces[i] for i in places.tolist()]
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
+            sizes = np.fromiter(map(len, found), np.int64, len(found))
+            begin = self.used + np.cumsum(sizes) - sizes
+            end = self.used + int(sizes.sum())
+            if end > len(self.ids):
+                self.ids = np.concatenate([self.ids[: self.used], np.zeros(2 * end - self.used, np.uint32)])
+            self.ids[self.used : end] = np.fromiter(chain.from_iterable(found), np.uint32, end - self.used)
+            at[places], size[places] = begin, sizes
+            count = len(self.known)
+            if count + len(new) <= CACHED and sum(map(len, new)) <= LONGEST * len(new):
+                self.known.update(zip(new, range(count, count + len(new)), strict=True))
+                self.at[count : count + len(new)], self.size[count : count + len(new)] = begin, sizes
+                self.used = end
+        return at, size
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids after each other, and for each text the number of its first one (one more entry: all)."""
-        unsafe = pc.match_substring_regex(texts, UNSAFE)
-        whole = self._ids(texts.filter(unsafe).to_pylist())
-        split = pc.split_pattern(texts.filter(pc.invert(unsafe)), " ")
-        counts = pc.list_value_length(split).to_numpy().astype(np.int64)
-        flat = split.flatten()
-        # The space belongs to the piece after it; a text's first piece has none.
-        begin = np.cumsum(counts) - counts
-        headless = np.zeros(len(flat), bool)
-        headless[begin[counts > 0]] = True
-        spaced = pc.if_else(pa.array(headless), flat, pc.binary_join_element_wise(pa.scalar("", flat.type), flat, pa.scalar(" ", flat.type)))
-        coded = spaced.dictionary_encode()
-        pieces = self._pieces(coded.dictionary.to_pylist())
-        size = np.array([len(p) for p in pieces], np.int64)
-        table = np.concatenate([*pieces, np.zeros(0, np.uint32)])
-        at = np.cumsum(size) - size
-        codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        length = size[codes] if len(codes) else np.zeros(0, np.int64)
+        data, offsets = words.utf8(texts)
+        if not len(data):
+            return np.zeros(0, np.uint32), np.zeros(len(texts) + 1, np.int64)
+        begins = np.zeros(len(data) + 1, bool)
+        begins[boundaries(data)] = begins[offsets] = True
+        cuts = np.flatnonzero(begins)
+        flat = pa.LargeStringArray.from_buffers(len(cuts) - 1, pa.py_buffer(cuts.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data)))
+        coded = flat.dictionary_encode()
+        at, size = self._pieces(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+        codes = coded.indices.to_numpy().astype(np.int64)
+        length = size[codes]
         ends = np.cumsum(length)
-        ids = table[np.repeat(at[codes] - (ends - length), length) + np.arange(length.sum())] if len(codes) else table
-        firsts = np.concatenate([[0], ends])[np.concatenate([begin, [len(flat)]])]
-        if not whole:
-            return ids, firsts
-        # Texts that were encoded whole are put between the others.
-        parts, safe, odd = [], 0, iter(whole)
-        for bad in unsafe.to_pylist():
-            if bad:
-                parts.append(next(odd))
-            else:
-                parts.append(ids[firsts[safe] : firsts[safe + 1]])
-                safe += 1
-        return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
+        ids = self.ids[np.repeat(at[codes] - (ends - length), length) + np.arange(ends[-1])]
+        return ids, np.concatenate([[0], ends])[np.searchsorted(cuts, offsets)]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -120,7 +132,7 @@ def encode(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
 
         part, before, ids_of = TaskContext.get().partitionId(), 0, encoder(vocabulary)
         for whole in batches:
-            for b in words.slices(whole, "text"):
+            for b in words.slices(whole, "text", TOGETHER):
                 ids, first = ids_of.encode(words.texts_of(b, "text"))
                 first = np.asarray(first, np.int64)
                 ids = np.insert(ids, first[1:], end_id).astype(np.int32)
