@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.functions import rules
+from lodestone.functions import edit, rules
 from lodestone.functions import text as T
 
 # --- sessions ---------------------------------------------------------------------------------------------------------
@@ -176,32 +176,8 @@ def abilities(results: DataFrame) -> DataFrame:
 
 
 def token_set_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Similarity of two texts as sets of words, 0 to 1: the best edit ratio among the sorted common words and each side's
-    common words with its own. A text whose words the other has scores 1. Case counts, and only white space separates."""
-
-    def ratio(x: str, y: str) -> float:
-        if not x and not y:
-            return 1.0
-        previous = [0] * (len(y) + 1)
-        for c in x:
-            row = [0]
-            for j, d in enumerate(y, 1):
-                row.append(previous[j - 1] + 1 if c == d else max(previous[j], row[-1]))
-            previous = row
-        return 2 * previous[-1] / (len(x) + len(y))
-
-    def score(x: str | None, y: str | None) -> float:
-        s, t = set((x or "").split()), set((y or "").split())
-        if not s or not t:
-            return 0.0
-        both = " ".join(sorted(s & t))
-        if both and (s <= t or t <= s):
-            return 1.0
-        left, right = (" ".join(p for p in (both, " ".join(sorted(q))) if p) for q in (s - t, t - s))
-        best = ratio(left, right)
-        return max(best, ratio(both, left), ratio(both, right)) if both else best
-
-    return pd.Series([score(x, y) for x, y in zip(a, b, strict=True)], index=a.index, dtype=float)
+    """`edit.token_set` of each pair."""
+    return pd.Series([edit.token_set(x, y) for x, y in zip(a, b, strict=True)], index=a.index, dtype=float)
 
 
 def best_matches(new: DataFrame, old: DataFrame, least_shared: int = 1) -> DataFrame:

@@ -32,30 +32,42 @@ def embedded(records: DataFrame, encoder) -> DataFrame:
 
 
 class Tables:
-    """A store: records, postings, vectors and edges (the last two may be None)."""
+    """A store: records, postings, vectors and the state of its graph (the last two may be None)."""
 
-    def __init__(self, records: DataFrame, terms: DataFrame | None = None, vectors: DataFrame | None = None, edges: DataFrame | None = None):
-        self.records, self.vectors, self.edges = records, vectors, edges
+    def __init__(self, records: DataFrame, terms: DataFrame | None = None, vectors: DataFrame | None = None, state: graph.State | None = None):
+        self.records, self.vectors, self.state = records, vectors, state
         self.postings = postings(records) if terms is None else terms
 
+    @property
+    def edges(self) -> DataFrame | None:
+        return graph.published(self.state.own) if self.state else None
+
+
+def changed(tables: Tables, new: DataFrame, gone: DataFrame | None = None, encoder=None) -> Tables:
+    """The store after records were added or replaced (new, with the columns of the records) and deleted (gone: id).
+
+    Every derived table follows for the ids that changed: postings and vectors by one anti join, the graph by what their
+    tokens can reach (`graph.maintained`). Equal to a full build over the records that there are then.
+    """
+    touched = new.select("id").union(gone.select("id")).distinct() if gone is not None else new.select("id").distinct()
+    records = replaced(tables.records, touched, new)
+    out = Tables(records, replaced(tables.postings, touched, postings(new)), tables.vectors, tables.state)
+    if encoder is not None and tables.vectors is not None:
+        out.vectors = replaced(tables.vectors, touched, embedded(new, encoder))
+    if tables.state is not None:
+        out.state = graph.maintained(tables.state, store.valid_now(records), touched)
+    return out
+
 
 def insert(tables: Tables, new: DataFrame, now: Column, encoder=None) -> Tables:
     """The store after new records: related ones are linked, all derived tables follow for the ids that changed only.
 
-    new has the columns of the records. A record that exists already (by id) is replaced. The graph is scored again for the
-    new records and those that choose them.
+    new has the columns of the records. A record that exists already (by id) is replaced.
     """
     asked = new.select(F.col("id").alias("query_id"), F.col("essence").alias("query"), "project", F.col("id").alias("own"))
     found = retrieval.related(asked, store.valid_now(tables.records)).groupBy(F.col("query_id").alias("id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", F.col("id").alias("to")))), lambda x: x["to"]).alias("found"))
     linked = new.join(found, "id", "left").withColumn("related", F.array_union(F.coalesce("related", F.array().cast("array<string>")), F.coalesce("found", F.array().cast("array<string>")))).drop("found")
-    records = replaced(tables.records, linked, linked)
-    out = Tables(records, replaced(tables.postings, linked, postings(linked)), tables.vectors, tables.edges)
-    if encoder is not None and tables.vectors is not None:
-        out.vectors = replaced(tables.vectors, linked, embedded(linked, encoder))
-    if tables.edges is not None:
-        features = graph.features(store.valid_now(records))
-        out.edges = graph.refresh(tables.edges, linked.select("id"), graph.candidates(features), features)
-    return out
+    return changed(tables, linked.select(new.columns), encoder=encoder)
 
 
 def added(mined: DataFrame, candidates: DataFrame) -> DataFrame:

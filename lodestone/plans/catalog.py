@@ -456,15 +456,17 @@ def graph_report(spark, sf):
     return graph.report(_edges(spark, sf), 3)
 
 
-@query("graph_refresh", f"{_EDGES_SQL} SELECT src, dst, relation, round(score, 6) AS score FROM edges WHERE substr(src, 8) = '7' OR substr(dst, 8) = '7'")
+@query("graph_refresh", f"{_EDGES_SQL} SELECT src, dst, relation, round(score, 6) AS score FROM edges")
 def graph_refresh(spark, sf):
-    """Edges of some records dropped and made again equal those of a full run."""
-    features = graph.features(_graph_records(spark, sf))
-    pairs = graph.candidates(features)
-    whole = graph.edges(graph.score_pairs(pairs, features))
-    touched = features.where("substr(id, 8) = '7'").select("id")
-    fresh = graph.refresh(whole, touched, pairs, features)
-    return fresh.where("substr(src, 8) = '7' OR substr(dst, 8) = '7'").withColumn("score", F.round("score", 6))
+    """The graph of a store as it was, with some records missing, others too many or with another text, follows to today's."""
+    live = _graph_records(spark, sf)
+    # One record in sixteen is new, has changed since, or (under another id) has been deleted since.
+    some = live.where("substr(id, 8) = '7'")
+    changed = some.where("substr(id, 7, 1) < '8'").withColumn("essence", F.substring("essence", 1, 200)).withColumn("tags", F.array(F.lit("old")))
+    gone = live.where("substr(id, 8) = '3'").withColumn("id", F.concat(F.lit("x"), "id"))
+    before = graph.built(live.where("substr(id, 8) <> '7'").unionByName(changed).unionByName(gone)).written()
+    now = graph.maintained(before, live, some.select("id").union(gone.select("id")))
+    return graph.published(now.own).withColumn("score", F.round("score", 6))
 
 
 # --- dedup, store, decay ----------------------------------------------------------------------------------------------
@@ -777,3 +779,4 @@ def relevance_classes(spark, sf):
 
 # Queries of the further modules register themselves on import.
 from lodestone.plans import ledger_queries as _ledger_queries  # noqa: E402, F401
+from lodestone.plans import upkeep_queries as _upkeep_queries  # noqa: E402, F401

@@ -28,17 +28,17 @@ def test_insert_keeps_derived_tables_as_a_full_build_makes_them(spark):
     r = records(spark).where("doc_id < 70")
     ids = [x.id for x in r.select("id").orderBy("id").limit(4).collect()]
     old, new = r.where(~F.col("id").isin(ids)), r.where(F.col("id").isin(ids))
-    features = graph.features(old.where("invalid_at IS NULL"))
-    edges = graph.edges(graph.score_pairs(graph.candidates(features), features))
-    edges = spark.createDataFrame(edges.collect(), edges.schema)
+    state = graph.built(old.where("invalid_at IS NULL")).written()
     length = lambda texts: texts.map(lambda t: [float(len(t))])
-    tables = write.insert(write.Tables(old, vectors=write.embedded(old, length), edges=edges), new, B.now(), length)
+    tables = write.insert(write.Tables(old, vectors=write.embedded(old, length), state=state), new, B.now(), length)
     assert tables.records.count() == r.count() and rows(tables.postings) == rows(write.postings(tables.records))
     assert rows(tables.vectors) == rows(write.embedded(tables.records, length))
     linked = tables.records.where(F.col("id").isin(ids)).select("id", "related").collect()
     assert any(len(x.related) > 1 for x in linked) and all(x.id not in x.related[1:] for x in linked)
     after = [(e.src, e.dst, e.relation) for e in tables.edges.collect()]
     assert len(set(after)) == len(after) and any(src in ids for src, _, _ in after)
+    whole = graph.published(graph.built(tables.records.where("status <> 'deprecated' AND invalid_at IS NULL")).own)
+    assert sorted(after) == sorted((e.src, e.dst, e.relation) for e in whole.collect())
 
 
 def test_edges_are_upserted_clamped_and_removed(spark):
