@@ -13,8 +13,8 @@ is shared again by weight among the others until none is above.
 The driver holds one row per pattern, that is per distinct set of sources, never per document: about 1 KB each while it
 routes, so a million patterns take 1 GB of its memory.
 
-A null text has size 0; a very long text is measured whole by column functions. A null source is a source of its own, after all others. Repeated rows count as documents of their
-own with equal hashes; ties go by id. An empty table gives an empty result; further columns are ignored.
+A null text has size 0; a very long text is measured whole by column functions. A null source is a source of its own, after
+all others. Repeated rows are numbered and count as documents of their own; ties go by id. An empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,6 +32,8 @@ WEIGHTS = (5.0, 2.0, 1.0)
 MOST_PASSES, SEED = 3, 17
 #: Documents in the bucket of a pattern in which its selection ends, about; only that bucket is put in order.
 BUCKET_DOCS = 2000
+#: Buckets that are summed together first; equal rows that are told again together.
+SHELF = 4096
 
 
 def size_of(text: Column) -> Column:
@@ -62,8 +64,7 @@ def quotas(total: float, sizes: list[int], weights: list[float], most_passes: in
 def route(patterns: list[tuple[tuple[int, ...], int]], wanted: list[int], most_passes: int = MOST_PASSES) -> list[dict[int, int]]:
     """Words that each pattern (its sources, its size) gives to each source, at the least cost that meets most of `wanted`.
 
-    Sources that no chain of patterns connects do not compete, so each connected part is a flow of its own; that of a
-    source with one pattern is plain.
+    Sources that no chain of patterns connects do not compete, so each connected part is a flow of its own.
     """
     parent = list(range(len(wanted)))
 
@@ -81,10 +82,6 @@ def route(patterns: list[tuple[tuple[int, ...], int]], wanted: list[int], most_p
         parts.setdefault(root(sources[0]), []).append(i)
     out: list[dict[int, int]] = [{} for _ in patterns]
     for numbers in parts.values():
-        (first, size), *others = (patterns[i] for i in numbers)
-        if not others and len(first) == 1:
-            out[numbers[0]] = {first[0]: min(wanted[first[0]], most_passes * size)}
-            continue
         names = sorted({s for i in numbers for s in patterns[i][0]})
         at = {s: k for k, s in enumerate(names)}
         told = flow([(tuple(at[s] for s in patterns[i][0]), patterns[i][1]) for i in numbers], [wanted[s] for s in names], most_passes)
@@ -166,6 +163,33 @@ def _fill(bucket: pd.DataFrame) -> pd.DataFrame:
     return bucket.assign(extra=extra)[["doc_id", "size", "number", "passes", "extra"]]
 
 
+def _numbered(sized: DataFrame) -> DataFrame:
+    """The rows with a number `copy` among those that are equal to them, so that equal rows get different tickets.
+
+    Equal rows are counted, and told again in blocks that are dealt out, however many they are.
+    """
+    counted = sized.groupBy(*sized.columns).agg(F.count("*").alias("n"))
+    blocks = counted.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / SHELF))))
+    once, often = blocks.where("n = 1"), blocks.where("n > 1").repartition("doc_id", "block")
+    first = F.col("block") * SHELF
+    often = often.withColumn("copy", F.explode(F.sequence(first, F.least(first + SHELF, F.col("n")) - 1)))
+    return once.withColumn("copy", F.lit(0).cast("long")).unionByName(often).drop("n", "block")
+
+
+def _edges(sums: DataFrame) -> DataFrame:
+    """(number, edge, short): the bucket in which each pattern's rest is used up, and what is left of it there.
+
+    Sums run over shelves of SHELF buckets first, then over the buckets of one shelf.
+    """
+    shelves = sums.groupBy("number", "shelf").agg(F.sum("words").alias("words"), F.max("rest").alias("rest"))
+    shelves = shelves.withColumn("through", F.sum("words").over(Window.partitionBy("number").orderBy("shelf"))).where("through >= rest")
+    shelf = shelves.groupBy("number").agg(F.min(F.struct("shelf", (F.col("through") - F.col("words")).alias("before"))).alias("at"))
+    inside = sums.join(shelf.select("number", "at.shelf", "at.before"), ["number", "shelf"])
+    inside = inside.withColumn("through", F.col("before") + F.sum("words").over(Window.partitionBy("number").orderBy("bucket"))).where("through >= rest")
+    last = inside.groupBy("number").agg(F.min(F.struct("bucket", (F.col("rest") - F.col("through") + F.col("words")).alias("short"))).alias("last"))
+    return last.select("number", F.col("last.bucket").alias("edge"), "last.short")
+
+
 def mix(docs: DataFrame, membership: Column, weights: tuple[float, ...] = WEIGHTS, most_passes: int = MOST_PASSES, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, size, pattern (its sources), pattern_size, target (sum of its sources' quotas), copies, taken.
 
@@ -192,14 +216,11 @@ def mix(docs: DataFrame, membership: Column, weights: tuple[float, ...] = WEIGHT
         plan.append((r.pattern_key, i, list(r.pattern), int(r.size), float(sum(targets[at[x]] for x in r.pattern)), int(passes), int(rest), max(1, r.docs // BUCKET_DOCS)))
     kind = sized.schema["pattern"].dataType.simpleString()
     plan = spark.createDataFrame(plan, f"pattern_key string, number int, pattern {kind}, pattern_size long, target double, passes long, rest long, buckets long")
-    ready = sized.drop("pattern").join(plan.select("pattern_key", "number", "passes", "rest", "buckets"), "pattern_key").drop("pattern_key")
-    ready = ready.withColumn("ticket", F.xxhash64(F.lit(seed), "doc_id", "size")).withColumn("bucket", F.pmod("ticket", "buckets"))
+    ready = _numbered(sized.drop("pattern")).join(plan.select("pattern_key", "number", "passes", "rest", "buckets"), "pattern_key").drop("pattern_key")
+    ready = ready.withColumn("ticket", F.xxhash64(F.lit(seed), "doc_id", "size", "copy")).withColumn("bucket", F.pmod("ticket", "buckets")).drop("copy")
 
     sums = ready.where("rest > 0").groupBy("number", "bucket").agg(F.sum("size").alias("words"), F.max("rest").alias("rest"))
-    through = F.sum("words").over(Window.partitionBy("number").orderBy("bucket"))
-    last = sums.withColumn("through", through).where("through >= rest")
-    last = last.groupBy("number").agg(F.min(F.struct("bucket", (F.col("rest") - F.col("through") + F.col("words")).alias("short"))).alias("last"))
-    last = space.write(last.select("number", F.col("last.bucket").alias("edge"), "last.short"), "edges")
+    last = space.write(_edges(sums.withColumn("shelf", F.floor(F.col("bucket") / SHELF))), "edges")
     ready = ready.join(last, "number", "left")
     on_edge = F.coalesce((F.col("bucket") == F.col("edge")) & (F.col("size") > 0), F.lit(False))
     filled = ready.where(on_edge).select("number", "doc_id", "size", "passes", "ticket", "short")

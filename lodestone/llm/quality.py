@@ -130,9 +130,10 @@ class Scorer:
 
 
 def fit(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABELLED, id_col: str = "doc_id", text_col: str = "text") -> Scorer:
-    """A scorer fitted on labelled documents outside the held-out fifth."""
+    """A scorer fitted on labelled documents outside the held-out fifth; labels of documents that are not at hand do not count."""
     space = Workspace(docs.sparkSession, "quality")
-    chosen = F.broadcast(features.labelled(labels, {"quality": F.col("quality")}, most_labelled, train_only=True))  # most_labelled rows of two numbers
+    own = docs.select(F.col(id_col).alias("doc_id"))
+    chosen = F.broadcast(features.labelled(labels, {"quality": F.col("quality")}, most_labelled, train_only=True, docs=own))  # most_labelled rows of two numbers
     sample = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(chosen, "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -93,3 +93,28 @@ def test_overlapping_sources_serve_both(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, sources array<string>")
     out = mixing.mix(docs, F.col("sources"), weights=(1.0, 1.0)).collect()
     assert all(r.copies == 1 for r in out)
+
+
+def test_the_query_goes_through_the_flow(spark, monkeypatch):
+    from lodestone.llm import queries
+
+    called, plain = [], mixing.flow
+    monkeypatch.setattr(mixing, "flow", lambda *a: called.append(a) or plain(*a))
+    docs = queries.op5_mixing(spark, "/root/testdata/sf0.001")
+    assert len(called) == docs.select("source").distinct().count() > 3
+
+
+def test_repeated_rows_and_many_shelves(spark, monkeypatch):
+    """A third of all rows are one row; buckets are of few documents and shelves of few buckets."""
+    monkeypatch.setattr(mixing, "BUCKET_DOCS", 5)
+    monkeypatch.setattr(mixing, "SHELF", 3)
+    rows = [(7, "same words here", "a")] * 400 + [(i, "w " * (1 + i % 5), "ab"[i % 3 == 0]) for i in range(800)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    out = mixing.mix(df, F.array("source"))
+    got = out.collect()
+    assert len(got) == len(rows) and sum(r.doc_id == 7 for r in got) == 401
+    for s in "ab":
+        own = [r for r in got if r.pattern[0] == s]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= 4
+    again = mixing.mix(df.repartition(3), F.array("source")).collect()
+    assert sorted(map(str, got)) == sorted(map(str, again))
