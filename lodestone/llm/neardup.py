@@ -24,7 +24,14 @@ linked unless its full sets meet the threshold.
 
 Hot bands: stars and set checks are dealt by (hub, block). In a round, the members of a band wait in blocks of `BLOCK`,
 once each, and only those that ask are copied to all blocks; so a band of n members, s of which are outside its largest
-component, makes n + s * n / BLOCK rows.
+component, makes n + s * n / BLOCK rows. A task holds a block and a part of those that ask, whatever their number.
+
+Crowded bands: where the stars leave more than `CROWD` components in a band, its members have parts of their texts in common
+(a template) but few are near copies, and comparing all of them would grow with the square of the band. Their nodes leave
+such bands and meet on the rarest shingles of their sets instead: two sets of n and m shingles that meet the threshold have
+`percent` per cent of the larger one in common, so of the (100 - percent) per cent (and one more) of each set that come first
+in any fixed order, one is in both. The order is by how often a shingle's bucket occurs in these nodes, so what a template
+brings comes last and is no meeting place. This loses no pair that the band had.
 
 Rows with a null text, an empty text or no words have an empty set and no links. A very long text is read whole, in a part
 of its own. Rows that share a doc_id are one node whose links are pooled; equal texts are one node. Components are named by
@@ -34,6 +41,7 @@ table gives an empty result; further columns are ignored.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -52,6 +60,12 @@ SKETCH_BITS = 512
 SKETCH_FLOOR = 0.5
 BLOCK, HUB_BLOCK = 512, 512
 FIRST_REACH, WIDEN = 2, 16
+#: Components of a band beyond which its nodes meet on rare shingles.
+CROWD = 1024
+#: Probes that a task compares with a block at a time.
+PROBES = 4096
+#: Buckets of the table that says how often shingles occur, and the parts in which it travels.
+BUCKETS, CHUNKS = 1 << 20, 64
 
 _rng = np.random.default_rng(7)
 _A = _rng.integers(1, 2**63, BANDS * ROWS, dtype=np.int64).astype(U64) | U64(1)
@@ -279,41 +293,118 @@ def _near_pairs(members: DataFrame, reach: int, percent: int) -> DataFrame:
     The probe is the node; each gets its `reach` nearest of those that wait in a block. `cut`: it had more. Of two
     probes the one whose component is smaller asks, so a pair is told once.
     """
-    spread = members.repartition("key", "block").sortWithinPartitions("key", "block")
+    members = members.withColumn("visits", (F.col("own") != F.col("block")).cast("int")).drop("own")
+    spread = members.select("key", "block", "visits", "node", "root", "weight", "probe", "size", "sketch", "bitmap").repartition("key", "block").sortWithinPartitions("key", "block", "visits")
 
-    def settle(key: list, columns: list) -> Iterator[tuple[np.ndarray, ...]]:
-        own, node, root, weight, probe, size, sketch, bitmap = columns
+    def settle(key: int, columns: list, waits: int, first: int) -> Iterator[tuple[np.ndarray, ...]]:
+        """The first `waits` rows wait; those from `first` on ask."""
+        node, root, weight, probe, size, sketch, bitmap = columns
         probe = probe.astype(bool)
-        ranked = np.lexsort((root, weight))
-        standing = np.empty(len(root), np.int64)
-        standing[ranked] = np.cumsum(np.r_[True, root[ranked][1:] != root[ranked][:-1]])
-        standing[~probe] += len(root)  # those that only wait are asked by every probe
-        waiting = np.flatnonzero(own == key[1])
-        block = _Block(size, sketch, bitmap, percent)
-        for i in np.flatnonzero(probe):
-            others = waiting[(standing[waiting] > standing[i]) & (root[waiting] != root[i])]
+        block, waiting = _Block(size, sketch, bitmap, percent), np.arange(waits)
+        for i in first + np.flatnonzero(probe[first:]):
+            # Those that only wait are asked by every probe.
+            later = ~probe[:waits] | (weight[:waits] > weight[i]) | ((weight[:waits] == weight[i]) & (root[:waits] > root[i]))
+            others = waiting[later & (root[:waits] != root[i])]
             if not len(others):
                 continue
             ahead, common = block.near(i, others)
             if len(ahead):
                 best = np.argsort(-common / np.maximum(size[ahead] + size[i] - common, 1), kind="stable")[:reach]
-                yield np.full(len(best), key[0]), node[ahead[best]], np.full(len(best), node[i]), np.full(len(best), len(ahead) > reach)
+                yield np.full(len(best), key), node[ahead[best]], np.full(len(best), node[i]), np.full(len(best), len(ahead) > reach)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, columns in _grouped(batches, 2, ragged=("bitmap",)):
-            found = list(settle(key, columns))
+        at, waiting = None, []
+        for key, columns in _grouped(batches, 3, ragged=("bitmap",), most=PROBES):
+            if not key[2]:
+                at, waiting = key[:2], columns
+                found = list(settle(key[0], waiting, len(waiting[0]), 0))
+            elif at == key[:2]:
+                both = [np.concatenate([x, y]) if isinstance(x, np.ndarray) else pa.chunked_array([*x.chunks, *y.chunks]) for x, y in zip(waiting, columns, strict=True)]
+                found = list(settle(key[0], both, len(waiting[0]), len(waiting[0])))
+            else:  # nobody waits in this block
+                continue
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], ["key", "hub", "node", "cut"])
 
     return spread.mapInArrow(run, "key long, hub long, node long, cut boolean")
 
 
-def _grouped(batches: Iterator[pa.RecordBatch], keys: int, ragged: tuple[str, ...] = ()) -> Iterator[tuple[list, list]]:
+def _rarity(texts: DataFrame) -> np.ndarray:
+    """For each bucket of shingles the size (binary digits) of how often it occurs in the sets of texts: BUCKETS bytes."""
+    wide = BUCKETS // CHUNKS
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(BUCKETS, np.int64)
+        for whole in batches:
+            for b in words.slices(whole, "text"):
+                for s in shingle_sets(words.texts_of(b, "text")):
+                    np.add.at(total, _bucket(s), 1)
+        for c in range(CHUNKS):
+            if total[c * wide : (c + 1) * wide].any():
+                yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([zlib.compress(total[c * wide : (c + 1) * wide].tobytes(), 1)])], ["chunk", "counts"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, total = None, np.zeros(wide, np.int64)
+        told = lambda: pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([np.ceil(np.log2(total + 1)).astype(np.uint8).tobytes()])], ["chunk", "digits"])
+        for b in batches:
+            for chunk, raw in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                if chunk != at:
+                    if at is not None:
+                        yield told()
+                    at, total = chunk, np.zeros(wide, np.int64)
+                total += np.frombuffer(zlib.decompress(raw.as_buffer()), np.int64)
+        if at is not None:
+            yield told()
+
+    out = np.zeros(BUCKETS, np.uint8)
+    parts = texts.mapInArrow(count, "chunk int, counts binary").repartition("chunk").sortWithinPartitions("chunk").mapInArrow(add, "chunk int, digits binary")
+    for r in parts.collect():
+        out[r.chunk * wide : (r.chunk + 1) * wide] = np.frombuffer(r.digits, np.uint8)
+    return out
+
+
+def _bucket(shingles: np.ndarray) -> np.ndarray:
+    return (words.mix(shingles, 61) & U64(BUCKETS - 1)).astype(np.int64)
+
+
+def rare_shingles(texts: DataFrame, percent: int) -> DataFrame:
+    """(key, node): for each text (doc_id, text) those of its shingles that come first by rarity, one of which two sets that
+    meet the threshold share."""
+    digits = texts.sparkSession.sparkContext.broadcast(_rarity(texts))  # BUCKETS bytes
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in words.slices(whole, "text"):
+                nodes, keys = [], []
+                for node, s in zip(b.column(0).to_pylist(), shingle_sets(words.texts_of(b, "text")), strict=True):
+                    first = len(s) + (-percent * len(s)) // 100 + 1 if len(s) else 0
+                    order = np.argsort(digits.value[_bucket(s)], kind="stable")[:first]  # sets are sorted, so ties go by hash
+                    keys.append(words.mix(s[order], 12).view(np.int64))
+                    nodes.append(np.full(len(order), node))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys), pa.int64()), pa.array(np.concatenate(nodes), pa.int64())], ["key", "node"])
+
+    return texts.mapInArrow(run, "key long, node long")
+
+
+def _uncrowded(bands: DataFrame, roots: DataFrame, texts: DataFrame, space: Workspace, percent: int) -> DataFrame:
+    """Meeting places (key, node): bands, but for crowded ones, whose nodes meet on rare shingles."""
+    rooted = bands.select("key", "node").join(roots, "node", "left").select("key", F.coalesce("root", "node").alias("root"))
+    crowded = space.write(rooted.distinct().groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > CROWD).select("key"), "crowded")
+    if crowded.isEmpty():
+        return bands.select("key", "node")
+    nodes = bands.join(crowded, "key", "left_semi").select(F.col("node").alias("doc_id")).distinct()
+    rare = space.write(rare_shingles(texts.join(nodes, "doc_id", "left_semi"), percent), "rare")
+    met = rare.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("key")
+    return space.write(bands.select("key", "node").join(crowded, "key", "left_anti").unionByName(rare.join(met, "key", "left_semi").select("key", "node").distinct()), "meeting")
+
+
+def _grouped(batches: Iterator[pa.RecordBatch], keys: int, ragged: tuple[str, ...] = (), most: int = 0) -> Iterator[tuple[list, list]]:
     """Groups of rows with equal leading columns, from batches sorted by them: (key, other columns as arrays).
 
-    Lists of one length become matrices; `ragged` columns stay as they are.
+    Lists of one length become matrices; `ragged` columns stay as they are. With `most`, groups whose last key is not 0 come
+    in parts of about that many rows.
     """
-    key, parts = None, []
+    key, parts, rows = None, [], 0
 
     def arrays() -> list:
         table = pa.Table.from_batches(parts)
@@ -326,11 +417,12 @@ def _grouped(batches: Iterator[pa.RecordBatch], keys: int, ragged: tuple[str, ..
         edges = [0, *(np.flatnonzero((heads[:, 1:] != heads[:, :-1]).any(0)) + 1), b.num_rows]
         for a, z in zip(edges[:-1], edges[1:], strict=True):
             now = heads[:, a].tolist()
-            if parts and now != key:
+            if parts and (now != key or (most and now[-1] and rows >= most)):
                 yield key, arrays()
-                parts = []
+                parts, rows = [], 0
             key = now
             parts.append(b.slice(a, z - a))
+            rows += int(z - a)
     if parts:
         yield key, arrays()
 
@@ -366,9 +458,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pooled = pooled.join(nodes.select("node"), "node", "left_semi").distinct()
     roots = connected(edges.unionByName(pooled).toDF("a", "b"), space)
 
+    places = _uncrowded(bands, roots, texts, space, percent)
     reach, asking = FIRST_REACH, None
     while True:
-        rooted = bands.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+        rooted = places.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
         weights = roots.groupBy("root").agg(F.count("*").alias("weight"))
         found = space.write(_near_pairs(_dealt(rooted, weights, traits, asking), reach, percent), "near")
         told = found.agg(F.count("*").alias("n"), F.coalesce(F.max("cut"), F.lit(False)).alias("cut")).first()

@@ -163,3 +163,69 @@ def test_bitmaps_refute_only_what_falls_short():
             assert len(others) == 120
     finally:
         neardup.MOST_DIFFERING = neardup_most
+
+
+def templated(n, rnd):
+    """Texts with 100 words in common and 60 of their own; every fiftieth has a near copy."""
+    common = [f"c{rnd.randrange(10**6)}" for _ in range(100)]
+    rows = []
+    for i in range(n):
+        own = [f"o{rnd.randrange(10**9)}" for _ in range(60)]
+        rows.append((2 * i + 1, " ".join(common + own)))
+        if i % 50 == 0:
+            own[rnd.randrange(60)] = "edited"
+            rows.append((2 * i + 2, " ".join(common + own)))
+    return rows
+
+
+def test_crowded_bands_grow_with_their_members(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "CROWD", 40)
+    monkeypatch.setattr(neardup, "BLOCK", 32)
+    monkeypatch.setattr(neardup, "PROBES", 8)
+    dealt, made = neardup._dealt, []
+
+    def counted(*a):
+        out = dealt(*a)
+        made.append(out.count())
+        return out
+
+    monkeypatch.setattr(neardup, "_dealt", counted)
+    rows_of = {}
+    for n in (250, 1000):
+        made.clear()
+        rows = templated(n, random.Random(n))
+        assert run(spark, rows) == brute(rows)
+        rows_of[n] = sum(made)
+    assert rows_of[1000] <= 6 * rows_of[250] + 200
+
+
+def test_probes_in_parts_and_rare_shingles_lose_nothing(spark, monkeypatch):
+    """A chain of edits in crowded bands, where every limit is small."""
+    rnd = random.Random(9)
+    base = [f"w{rnd.randrange(10**6)}" for _ in range(150)]
+    rows = []
+    for i in range(150):
+        w = list(base)
+        for _ in range(rnd.randrange(1, 9)):
+            w[rnd.randrange(150)] = f"e{rnd.randrange(10**6)}"
+        rows.append((i * 3 + 1, " ".join(w)))
+    for name, value in (("CROWD", 2), ("BLOCK", 16), ("PROBES", 4), ("FIRST_REACH", 1), ("WIDEN", 2)):
+        monkeypatch.setattr(neardup, name, value)
+    assert run(spark, rows) == brute(rows)
+
+
+def test_two_sets_at_the_threshold_share_a_rare_shingle(spark):
+    rnd = random.Random(4)
+    rows = []
+    for i in range(60):
+        w = [f"t{k}" for k in range(40)] + [f"x{rnd.randrange(10**6)}" for _ in range(rnd.randrange(0, 40))]
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(w[: len(w) - rnd.randrange(0, max(1, len(w) // 5))] + ["z"]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    keys = {}
+    for r in neardup.rare_shingles(docs, 75).collect():
+        keys.setdefault(r.node, set()).add(r.key)
+    sets = {i: shingles(t) for i, t in rows}
+    for i, a in sets.items():
+        for j, b in sets.items():
+            if i < j and 100 * len(a & b) >= 75 * len(a | b):
+                assert keys[i] & keys[j]
