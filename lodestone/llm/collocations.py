@@ -9,11 +9,12 @@ f >= `least` are candidates. One pass over the texts for each length k:
 2. In the same pass it hashes phrases of k + 1 words into `BUCKETS` buckets and counts those (DHP: only phrases both of
    whose parts of k words passed the tests of 1).
 3. Buckets become a bitmap, and so do the frequent phrases of k words; both go to all tasks of the next pass. A bitmap
-   has BUCKETS bits (512 KB), however large the corpus is. False positives cost counting and change no result; if a corpus is
+   has BUCKETS bits (2 MB), however large the corpus is. False positives cost counting and change no result; if a corpus is
    so large that most buckets are full, Apriori still prunes.
 
-Counting is by words, not by hashes: within a part of a batch, phrases are pairs of exact codes; they are summed in the task,
-then by Spark on (lang, phrase), so neither a hot language nor a hot phrase meets in one task before it is summed. Bucket
+Counting is by words, not by hashes: within a part of a batch, phrases are pairs of exact codes; their counts are summed
+by Spark on (lang, phrase), in each task before they are shuffled, so neither a hot language nor a hot phrase meets in one
+task unsummed. Bucket
 counts stop at `least` (255 at most), which loses no frequent phrase, so a task's table is one byte for each bucket; tables travel
 in `CHUNKS` chunks and are added as a stream, one chunk in memory at a time.
 
@@ -29,6 +30,7 @@ and further columns are ignored.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,9 +46,9 @@ from lodestone.llm.words import U64
 
 LONGEST, LEAST, TOP = 4, 30, 2000
 SCALE, ABSORB = 2_000_000, 80
-BUCKETS, CHUNKS = 1 << 22, 256
-#: Rows of counts that a task holds before it sums them, and before it hands them on.
-HELD, SUMMED = 2_000_000, 400_000
+BUCKETS, CHUNKS = 1 << 24, 256
+#: Bytes of the texts whose phrases are counted together.
+TOGETHER = 4_000_000
 SALTS = 32
 COUNTS = "lang string, phrase string, n long, chunk int, buckets binary"
 
@@ -138,41 +140,12 @@ class Bits:
         return (self.packed[bucket >> 3] >> (bucket & 7).astype(np.uint8) & 1).astype(bool)
 
 
-class _Tables:
-    """Counts of one task: phrases, summed now and then, and one capped count for each bucket."""
-
-    def __init__(self, least: int):
-        self.least, self.parts, self.rows = min(least, 255), [], 0  # a byte for each bucket
-        self.counts = np.zeros(BUCKETS, np.uint8)
-        self.waiting: list[np.ndarray] = []
-        self.waits = 0
-
-    def add(self, found: pa.Table) -> Iterator[pa.Table]:
-        self.parts.append(found)
-        self.rows += len(found)
-        if self.rows > HELD:
-            whole = self.summed()
-            if len(whole) > SUMMED:
-                yield whole
-            else:
-                self.parts, self.rows = [whole], len(whole)
-
-    def summed(self) -> pa.Table:
-        whole = pa.concat_tables(self.parts).group_by(["lang", "phrase"]).aggregate([("n", "sum")]).rename_columns(["lang", "phrase", "n"])
-        self.parts, self.rows = [], 0
-        return whole
-
-    def count(self, buckets: np.ndarray) -> None:
-        self.waiting.append(buckets)
-        self.waits += len(buckets)
-        if self.waits > BUCKETS:
-            self.settle()
-
-    def settle(self) -> None:
-        if self.waits:
-            more = np.bincount(np.concatenate(self.waiting), minlength=BUCKETS)
-            self.counts = np.minimum(self.counts + more, self.least).astype(np.uint8)
-            self.waiting, self.waits = [], 0
+def counted_up(counts: np.ndarray, buckets: np.ndarray, most: int) -> None:
+    """Adds buckets to a table of counts that stop at `most`."""
+    buckets = np.sort(buckets)
+    edges = np.flatnonzero(np.diff(buckets, prepend=-1))
+    some = buckets[edges]
+    counts[some] = np.minimum(np.diff(edges, append=len(buckets)) + counts[some], most)
 
 
 def _rows(found: pa.Table) -> Iterator[pa.RecordBatch]:
@@ -187,35 +160,31 @@ def _chunks(counts: np.ndarray) -> Iterator[pa.RecordBatch]:
     for c in range(CHUNKS):
         own = counts[c * wide : (c + 1) * wide]
         if own.any():
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.string()), pa.nulls(1, pa.string()), pa.nulls(1, pa.int64()), pa.array([c], pa.int32()), pa.array([own.tobytes()])], ["lang", "phrase", "n", "chunk", "buckets"])
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.string()), pa.nulls(1, pa.string()), pa.nulls(1, pa.int64()), pa.array([c], pa.int32()), pa.array([zlib.compress(own.tobytes(), 1)])], ["lang", "phrase", "n", "chunk", "buckets"])
 
 
 def scan(docs: DataFrame, k: int, last: bool, least: int, buckets: Broadcast | None, frequent: Broadcast | None) -> DataFrame:
     """The pass for phrases of k words: their counts where they may be frequent, and bucket counts of k + 1 words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = _Tables(least)
+        counts = np.zeros(BUCKETS, np.uint8)
         full = Bits(buckets.value) if buckets else None
         known = Bits(frequent.value) if frequent else None
         for whole in batches:
-            for b in words.slices(whole, "text", 2_000_000):
+            for b in words.slices(whole, "text", TOGETHER):
                 text = Words(words.texts_of(b, "text"), words.texts_of(b, "lang"))
                 at = text.places(k)
                 if k > 1:
                     at = at[full.has(text.buckets(at, k))]
                     at = at[known.has(text.buckets(at, k - 1)) & known.has(text.buckets(at + 1, k - 1))]
                 if len(at):
-                    for found in tables.add(text.counted(at, k)):
-                        yield from _rows(found)
+                    yield from _rows(text.counted(at, k))
                 if not last:
                     passed = np.zeros(len(text.codes) + 1, bool)
                     passed[at] = True
                     longer = text.places(k + 1)
-                    tables.count(text.buckets(longer[passed[longer] & passed[longer + 1]], k + 1))
-        if tables.rows:
-            yield from _rows(tables.summed())
-        tables.settle()
-        yield from _chunks(tables.counts)
+                    counted_up(counts, text.buckets(longer[passed[longer] & passed[longer + 1]], k + 1), min(least, 255))
+        yield from _chunks(counts)
 
     return docs.mapInArrow(run, COUNTS)
 
@@ -227,7 +196,7 @@ def added(chunks: DataFrame, least: int) -> np.ndarray:
         at, total = None, None
         for b in batches:
             for chunk, raw in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                own = np.frombuffer(raw.as_buffer(), np.uint8).astype(np.int64)
+                own = np.frombuffer(zlib.decompress(raw.as_buffer()), np.uint8).astype(np.int64)
                 if chunk != at:
                     if at is not None:
                         yield packed(at, total)
