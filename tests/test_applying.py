@@ -7,7 +7,8 @@ from lodestone.operators import applying
 from lodestone.sources import scratch
 from lodestone.sources.keyed import Conflict, Table
 
-NOW = F.lit("2024-02-01 00:00:00").cast("timestamp_ntz")
+def now():
+    return F.lit("2024-02-01 00:00:00").cast("timestamp_ntz")
 
 
 def sha(text):
@@ -38,7 +39,7 @@ def plan(spark):
 
 
 def test_effects_and_report(spark, table):
-    told = sorted((r.step, r.id or "", r.fate) for r in applying.apply(table, "p1", plan(spark), NOW).collect())
+    told = sorted((r.step, r.id or "", r.fate) for r in applying.apply(table, "p1", plan(spark), now()).collect())
     assert told == [
         (0, "a" * 8, "applied"), (1, "d" * 8, "protected"), (2, "zzzz", "missing"), (3, "", "added"), (3, "a" * 8, "unsupported"), (3, "b" * 8, "applied"), (3, "c" * 8, "applied"), (3, "d" * 8, "protected"),
         (4, "e" * 8, "applied"), (5, "f" * 8, "stale"), (6, "g" * 8, "too_short"), (7, "", "added"), (8, "f" * 8, "applied"),
@@ -51,15 +52,15 @@ def test_effects_and_report(spark, table):
 
 def test_a_plan_is_applied_once_and_in_one_commit(spark, table):
     before = table.version().number
-    applying.apply(table, "p1", plan(spark), NOW)
+    applying.apply(table, "p1", plan(spark), now())
     once = sorted(map(str, table.read().collect()))
     assert table.version().number == before + 1
-    assert applying.apply(table, "p1", plan(spark), NOW) is None
+    assert applying.apply(table, "p1", plan(spark), now()) is None
     assert sorted(map(str, table.read().collect())) == once and table.version().number == before + 1
 
 
 def test_additive_only(spark, table):
-    told = {(r.step, r.fate) for r in applying.apply(table, "p1", plan(spark), NOW, additive_only=True).collect()}
+    told = {(r.step, r.fate) for r in applying.apply(table, "p1", plan(spark), now(), additive_only=True).collect()}
     assert {(0, "held"), (3, "held"), (4, "applied"), (7, "added"), (8, "held")} <= told
     assert {r.title for r in table.read().collect()} >= {"insight"} and table.read().where("invalid_at IS NOT NULL").count() == 0
 
@@ -75,7 +76,7 @@ def test_a_writer_in_between_has_the_plan_worked_out_again(spark, table, monkeyp
         return out
 
     monkeypatch.setattr(applying.scratch, "written", slow)
-    told = {(r.step, r.fate) for r in applying.apply(table, "p1", plan(spark), NOW).collect()}
+    told = {(r.step, r.fate) for r in applying.apply(table, "p1", plan(spark), now()).collect()}
     assert (4, "stale") in told and table.read().where("essence = 'changed meanwhile'").count() == 1
     assert table.version().number == 3
 
@@ -83,4 +84,4 @@ def test_a_writer_in_between_has_the_plan_worked_out_again(spark, table, monkeyp
 def test_conflicts_without_end_are_told(spark, table, monkeypatch):
     monkeypatch.setattr(table, "upsert", lambda *a, **k: (_ for _ in ()).throw(Conflict("always")))
     with pytest.raises(Conflict):
-        applying.apply(table, "p1", plan(spark), NOW, tries=2)
+        applying.apply(table, "p1", plan(spark), now(), tries=2)

@@ -30,7 +30,7 @@ def test_near_duplicates_within_a_section_only(spark):
 def test_a_full_profile_is_compacted(spark, compact, outcome):
     facts = [("user", "Preferences", i, f"fact number {i:04d}") for i in range(125)]
     assert len(profiles.rendered("user", {"Preferences": [f[3] for f in facts]})) < profiles.MOST
-    said, after = fold(spark, facts, [("user", "Conventions", "a line that is long enough to push this over the cap")], compact=compact)
+    said, after = fold(spark, facts, [("user", "Conventions", "a line that is long enough to push the rendered text of this profile over the cap that it has")], compact=compact)
     assert said == [outcome]
     assert after == ([("user", "Preferences", "condensed facts")] if outcome.startswith("compacted") else [f[:2] + f[3:] for f in facts])
 
@@ -51,13 +51,12 @@ def test_all_proposals_equal_a_plain_loop(spark):
             want[r.profile, r.seq] = "duplicate"
         else:
             size = sum(len(f"## {s}\n\n") + sum(len(f"- {x}\n") for x in own[s]) for s in schema) + len(f"- {r.line}\n") + len("# User Profile\n\n" if r.profile == "user" else f"# {r.profile} Profile\n\n")
-            last_empty = not own[schema[-1]] and section != schema[-1]
-            want[r.profile, r.seq] = "appended" if size - 1 - 0 * last_empty <= 2500 else "rejected_full"
+            want[r.profile, r.seq] = "appended" if size - 1 <= 2500 else "rejected_full"
             if want[r.profile, r.seq] == "appended":
                 own[section].append(r.line)
     got = catalog.QUERIES["profile_fold"](spark, SMALL).collect()
     told = {(r.profile, r.seq): r.outcome for r in got if r.kind == "outcome"}
     assert told == want and {"appended", "duplicate", "invalid_section", "rejected_full"} <= set(told.values())
     assert sorted((r.profile, r.section, r.line) for r in got if r.kind == "fact") == sorted((p, s, x) for p, own in held.items() for s, xs in own.items() for x in xs)
-    text = {r.profile: r.text for r in profiles.texts(spark.createDataFrame([r for r in got if r.kind == "fact"])).collect()}
+    text = {r.profile: r.text for r in profiles.texts(catalog.QUERIES["profile_fold"](spark, SMALL).where("kind = 'fact'")).collect()}
     assert text["user"].startswith("# User Profile\n\n## Preferences\n") and all(len(t) <= 2500 for t in text.values())
