@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import scoring as S
@@ -46,6 +46,20 @@ def replay(baseline: DataFrame, current: DataFrame, k: int) -> DataFrame:
     return j.select("query_id", T.jaccard(F.col("old"), F.col("new"), k).alias("jaccard"), same_top.alias("top_stable"), delta.alias("rank_delta"))
 
 
+def replay_summary(replayed: DataFrame, latency: DataFrame | None = None) -> DataFrame:
+    """One row of a replay: queries, mean Jaccard, share of stable first places, mean move; with latency (query_id, ms) its
+    median and 95th percentile."""
+    j = replayed.join(latency.select("query_id", "ms"), "query_id", "left") if latency is not None else replayed.withColumn("ms", F.lit(None).cast("double"))
+    return j.agg(F.count("*").alias("queries"), F.avg("jaccard").alias("mean_jaccard"), F.avg(F.col("top_stable").cast("double")).alias("stable"), F.avg("rank_delta").alias("mean_delta"), F.percentile("ms", 0.5).alias("median_ms"), F.percentile("ms", 0.95).alias("p95_ms"))
+
+
+def worst(replayed: DataFrame, n: int = 10) -> DataFrame:
+    """(query_id, jaccard, rank_delta, place): the n queries that changed most; a bounded sort."""
+    first = replayed.orderBy("jaccard", F.desc(F.coalesce("rank_delta", F.lit(0.0))), "query_id").limit(n)
+    w = Window.orderBy("jaccard", F.desc(F.coalesce("rank_delta", F.lit(0.0))), "query_id")  # n rows
+    return first.select("query_id", "jaccard", "rank_delta", F.row_number().over(w).alias("place"))
+
+
 def rankings(hits: DataFrame, k: int) -> DataFrame:
     """(query_id, ids) in the order of rank."""
     ids = F.transform(F.array_sort(F.collect_list(F.struct("rank", "id"))), lambda x: x["id"])

@@ -74,10 +74,25 @@ def across_vaults(queries: DataFrame, vaults: DataFrame, most: int = 3) -> DataF
 def excluded(queries: DataFrame, lessons: DataFrame) -> DataFrame:
     """(query_id, id): records that a lesson (query_class, id) keeps from a query of its class.
 
-    Lessons are written by people, so they are the small side; Catalyst sees their size and chooses how to join.
+    Queries and classes meet on the words they share, stop words and words of one letter included, since a class whose
+    words are all such may still stand in a query; what meets is judged as a whole. A class may begin or end within a word of
+    the query that holds it; with three words or more one in between is whole, shorter ones meet on their first letters.
     """
-    j = queries.select("query_id", "query").join(lessons.select("query_class", "id"), rules.lesson_applies(F.col("query"), F.col("query_class")))
-    return j.select("query_id", "id").distinct()
+    every = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)))
+    classes = lessons.select("query_class").where("coalesce(query_class, '') <> ''").distinct()
+    asked = queries.select("query_id", "query", every(F.col("query")).alias("q"))
+    words = asked.select("query_id", F.explode("q").alias("w"))
+    shared = words.join(classes.select("query_class", F.explode(every(F.col("query_class"))).alias("w")), "w").select("query_id", "query_class")
+    # Words at the ends of a class may be parts of words; one in between is whole and is met above. So classes of one or two
+    # words, and those without words, meet the queries that hold their first letters.
+    short = classes.where(F.size(every(F.col("query_class"))) <= 2).withColumn("start", F.substring(F.lower("query_class"), 1, 3))
+    text = F.lower(F.coalesce("query", F.lit("")))
+    at = F.when(F.length(text) > 0, F.sequence(F.lit(1), F.length(text))).otherwise(F.array().cast("array<int>"))
+    starts = asked.select("query_id", F.explode(F.array_distinct(F.flatten(F.transform(at, lambda i: F.array(F.substring(text, i, F.lit(1)), F.substring(text, i, F.lit(2)), F.substring(text, i, F.lit(3))))))).alias("start"))
+    held = starts.join(short, "start").select("query_id", "query_class")
+    met = shared.unionByName(held).distinct().join(queries.select("query_id", "query"), "query_id")
+    kept = met.where(rules.lesson_applies(F.col("query"), F.col("query_class"))).select("query_id", "query_class")
+    return kept.join(lessons.select("query_class", "id"), "query_class").select("query_id", "id").distinct()
 
 
 def without_excluded(hits: DataFrame, queries: DataFrame, lessons: DataFrame) -> DataFrame:
