@@ -105,3 +105,16 @@ def texts(facts: DataFrame) -> DataFrame:
         return rendered(profile, own)
 
     return facts.groupBy("profile").agg(lines.alias("rows")).select("profile", text("profile", "rows").alias("text"))
+
+
+def injected(profile_texts: DataFrame, scopes: DataFrame, most: int = 1200) -> DataFrame:
+    """(scope, text): what a session starts with: the user's profile and, but for `general`, the project's, each cut before
+    the line that would take it over `most` characters; empty without either."""
+    lines = F.split("text", "\n")
+    size = lambda xs: F.aggregate(xs, F.lit(0), lambda a, x: a + F.length(x) + 1)
+    first = F.filter(lines, lambda x, i: size(F.slice(lines, 1, i + 1)) <= most)
+    cut = profile_texts.select("profile", F.rtrim(F.when(F.length("text") <= most, F.col("text")).otherwise(F.array_join(first, "\n")), F.lit(" \n")).alias("part")).where("part <> ''")
+    asked = scopes.select("scope").distinct()
+    both = asked.select("scope", F.lit(0).alias("n"), F.lit("user").alias("profile")).unionByName(asked.where("scope NOT IN ('', 'general', 'user')").select("scope", F.lit(1).alias("n"), F.col("scope").alias("profile")))
+    parts = both.join(cut, "profile").groupBy("scope").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "part"))), lambda x: x["part"]), "\n\n").alias("text"))
+    return asked.join(parts, "scope", "left").select("scope", F.coalesce("text", F.lit("")).alias("text"))
