@@ -32,6 +32,16 @@ def test_quality_on_held_out_documents(tables):
     assert all(r.predicted == int(r.score >= 0.3) for r in rows.values())
 
 
+def test_labels_of_documents_that_are_not_at_hand_do_not_count(spark, tables):
+    """Many more labels of other ids, all alike: the sample is drawn from the documents', and scores stay the same."""
+    docs, labels = tables
+    docs = docs.where("doc_id < 3000")
+    own = labels.join(docs.select("doc_id"), "doc_id", "left_semi").select("doc_id", "quality")
+    strangers = spark.range(10**7, 10**7 + 400_000).selectExpr("id AS doc_id", "1 AS quality")
+    few, many = ({r.doc_id: r.score for r in quality.score(docs, quality.fit(docs, x)).collect()} for x in (own, own.unionByName(strangers)))
+    assert few == many and len(set(few.values())) > 100
+
+
 def test_toxicity_on_documents_outside_the_fit(spark, tables):
     docs, labels = tables
     half = labels.where("doc_id % 2 = 0")
