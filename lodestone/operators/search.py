@@ -59,11 +59,13 @@ def all_terms(scored: DataFrame, queries: DataFrame, query_words: Column) -> Dat
     return scored.join(needed, "query_id").where("terms = needed").drop("needed")
 
 
-def cosine_top(queries: DataFrame, vectors: DataFrame, k: int, blocks: int = 16) -> DataFrame:
+def cosine_top(queries: DataFrame, vectors: DataFrame, k: int, block: int = 20_000) -> DataFrame:
     """(query_id, id, score, rank): exact, all vectors against the stated queries (query_id, vector), in blocks.
 
-    Each vector sits in one block and each query visits all blocks, so the join is an equi-join on the block number.
+    Each vector sits in one block of about `block` (16 blocks at least) and each query visits all blocks, so the join is an
+    equi-join on the block number, and what a task holds does not grow with the store.
     """
+    blocks = max(16, -(-vectors.count() // block))
     held = vectors.select("id", "vector", F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block"))
     asked = queries.select("query_id", F.col("vector").alias("q"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
     scored = held.join(asked, "block").where("id <> query_id").select("query_id", "id", S.cosine(F.col("q"), F.col("vector")).alias("score"))
