@@ -1,7 +1,8 @@
 """The engine from a command line: `python -m lodestone.cli COMMAND --records PATH ...`; results are printed as JSON lines.
 
-Commands mirror the calls of `api.Engine` (search, get, timeline, slice, save), the store's reports (status, list, audit) and
-the replay of a query set against another engine's hits (replay).
+Commands mirror the calls of `api.Engine` (search, get, timeline, slice, save), the store's reports (status, list, sources,
+audit), the graph around records (related, reverse, links), what saving texts or importing a folder would come to (similar,
+import), and the replay of a query set against another engine's hits (replay, summary, worst).
 """
 
 from __future__ import annotations
@@ -10,14 +11,17 @@ import argparse
 import json
 import os
 import sys
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.api import Engine
 from lodestone.functions import rules
-from lodestone.operators import analytics, graph, ledger, store
+from lodestone.operators import analytics, fuzzy, graph, ledger, store
 from lodestone.session import session
+from lodestone.sources import imports
 
 
 def arguments(argv: list[str]) -> argparse.Namespace:
@@ -49,6 +53,14 @@ def _replay(spark: SparkSession, e: Engine, a: argparse.Namespace) -> DataFrame:
     return analytics.replay(old, new, a.limit)
 
 
+def _near(spark: SparkSession, a: argparse.Namespace, rows: DataFrame, end: str) -> DataFrame:
+    """Rows of the records whose keys (or first characters of them) are asked for; all without any."""
+    if not a.texts:
+        return rows
+    keys = [F.startswith(F.col(end), F.lit(k)) for k in a.texts]
+    return rows.where(reduce(or_, keys))
+
+
 COMMANDS = {
     "search": lambda spark, e, a: e.search(_queries(spark, a), a.limit, a.scope).orderBy("query_id", "place"),
     "slice": lambda spark, e, a: e.slice(_queries(spark, a), a.limit, a.scope).orderBy("query_id", "hop", "place"),
@@ -60,6 +72,14 @@ COMMANDS = {
     "status": lambda spark, e, a: ledger.status(e.records.withColumn("decay_immune", F.lit(False))),
     "audit": lambda spark, e, a: graph.audit_report(graph.audit(e.edges, e.records)).orderBy("finding"),
     "replay": _replay,
+    "summary": lambda spark, e, a: analytics.replay_summary(_replay(spark, e, a)),
+    "worst": lambda spark, e, a: analytics.worst(_replay(spark, e, a), a.limit).orderBy("place"),
+    "similar": lambda spark, e, a: fuzzy.bands(_queries(spark, a).select(F.col("query_id").alias("new_id"), F.col("query").alias("text")), store.scoped(e.valid, a.scope).select("id", F.col("essence").alias("body"))).orderBy("new_id"),
+    "import": lambda spark, e, a: imports.new_records(spark, a.texts[0], e.valid, e.now, a.scope),
+    "related": lambda spark, e, a: _near(spark, a, graph.suggestions(e.edges, a.limit), "src").orderBy("src", "rank"),
+    "reverse": lambda spark, e, a: _near(spark, a, graph.reverse_neighbours(e.edges, a.limit), "dst").orderBy("dst", "rank"),
+    "links": lambda spark, e, a: _near(spark, a, graph.report(e.edges, a.limit), "id").orderBy("id"),
+    "sources": lambda spark, e, a: e.records.groupBy("project").agg(F.count("*").alias("records"), F.count_if(F.col("status") == "active").alias("active")).orderBy("project"),
 }
 
 

@@ -161,3 +161,20 @@ def test_command_line(spark, tmp_path):
     assert told and json.dumps([r.asDict() for r in told], default=str)
     assert cli.run(spark, ["status", "--records", path, "--now", B.NOW]).first().records == records(spark).count()
     assert len(cli.run(spark, ["list", "--records", path, "--now", B.NOW, "--since", "24h"]).collect()) <= 10
+
+
+def test_commands_on_edges_folders_and_texts(spark, tmp_path):
+    path, edges = str(tmp_path / "r"), str(tmp_path / "e")
+    r = records(spark).where("doc_id < 30")
+    r.write.parquet(path)
+    spark.createDataFrame([("00000001", "00000002", "same_topic", 0.8), ("00000003", "00000002", "supports", 0.5), ("00000001", "00000004", "same_project", 0.4)], "src string, dst string, relation string, score double").write.parquet(edges)
+    run = lambda *a: cli.run(spark, [*a, "--records", path, "--edges", edges, "--now", B.NOW]).collect()
+    assert [(x.src, x.rank) for x in run("reverse", "00000002")] == [("00000001", 1), ("00000003", 2)]
+    assert [x.dst for x in run("related", "00000001")] == ["00000002"] and len(run("links")) == 2
+    known = r.where("status <> 'deprecated' AND invalid_at IS NULL").orderBy("id").first()
+    assert [x.band for x in run("similar", known.essence, "zzz qqq")] == ["reject", "insert"]
+    folder = tmp_path / "in"
+    folder.mkdir()
+    (folder / "a.txt").write_text("a line that no record is like in any way")
+    (folder / "b.txt").write_text(known.essence[:1900])
+    assert [x.title for x in run("import", str(folder))][:1] == ["a"] and sum(x.records for x in run("sources")) == r.count()
