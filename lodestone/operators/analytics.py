@@ -66,9 +66,13 @@ def rankings(hits: DataFrame, k: int) -> DataFrame:
     return hits.where(F.col("rank") <= k).groupBy("query_id").agg(ids.alias("ids"))
 
 
-def precision(hits: DataFrame, expected: DataFrame, by: str | None = None) -> DataFrame:
-    """Hits (query_id, text) that hold one of their query's keywords, over all hits; by category with a total."""
-    j = hits.join(expected, "query_id").withColumn("good", F.exists("keywords", lambda k: F.contains(F.lower("text"), F.lower(k))))
+def precision(hits: DataFrame, expected: DataFrame, by: str | None = None, fold: bool = True) -> DataFrame:
+    """Hits (query_id, text) that hold one of their query's keywords, over all hits; by category with a total.
+
+    fold: whether case does not count.
+    """
+    told = F.lower if fold else F.col
+    j = hits.join(expected, "query_id").withColumn("good", F.exists("keywords", lambda k: F.contains(told("text"), F.lower(k) if fold else k)))
     measures = [F.count("*").alias("hits"), F.count_if("good").alias("good"), F.round(F.count_if("good") / F.count("*"), 6).alias("precision")]
     return j.rollup(by).agg(*measures) if by else j.agg(*measures)
 
