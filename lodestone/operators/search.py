@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import scoring as S
 from lodestone.functions import text as T
+from lodestone.functions.vectors import Block, cosines, whole
 
 
 def best(scored: DataFrame, k: int, *order: Column, by: str = "query_id", rank: str = "rank") -> DataFrame:
@@ -62,13 +63,30 @@ def all_terms(scored: DataFrame, queries: DataFrame, query_words: Column) -> Dat
 def cosine_top(queries: DataFrame, vectors: DataFrame, k: int, block: int = 20_000) -> DataFrame:
     """(query_id, id, score, rank): exact, all vectors against the stated queries (query_id, vector), in blocks.
 
-    Each vector sits in one block of about `block` (16 blocks at least) and each query visits all blocks, so the join is an
-    equi-join on the block number, and what a task holds does not grow with the store.
+    Each vector sits in one block of about `block` (16 blocks at least) and each query visits all blocks, where it meets
+    its vectors as a matrix and keeps what may be among its first k; so what a task holds does not grow with the store.
     """
     blocks = max(16, -(-vectors.count() // block))
-    held = vectors.select("id", "vector", F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block"))
-    asked = queries.select("query_id", F.col("vector").alias("q"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
-    scored = held.join(asked, "block").where("id <> query_id").select("query_id", "id", S.cosine(F.col("q"), F.col("vector")).alias("score"))
+    of = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
+    held = vectors.select("id", whole(F.col("vector")).alias("vector"), of.alias("block"))
+    asked = queries.select("query_id", whole(F.col("vector")).alias("q"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    kinds = {"query_id": queries.schema["query_id"].dataType.simpleString(), "id": vectors.schema["id"].dataType.simpleString()}
+
+    def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        ids, own, found = b["id"].to_numpy(), a["query_id"].to_numpy(), []
+        if len(a) and len(b):
+            for at, c in cosines(Block(a["q"].tolist()), Block(b["vector"].tolist())):
+                c = np.where(own[at : at + len(c), None] == ids[None, :], -np.inf, c)
+                high = np.where(np.isnan(c), np.inf, c)
+                # Scores are told apart by nine places, and ties go by id: what is equal to the last kept stays.
+                least = np.partition(high, -min(k, len(ids)), axis=1)[:, -min(k, len(ids))] - 2e-9
+                i, j = np.nonzero((high >= least[:, None]) & (high > -np.inf))
+                found.append((own[at + i], ids[j], c[i, j]))
+        x, y, z = (np.concatenate(p) for p in zip(*found, strict=True)) if found else (own[:0], ids[:0], np.zeros(0))
+        return pd.DataFrame({"query_id": x, "id": y, "score": z})
+
+    scored = asked.groupBy("block").cogroup(held.groupBy("block")).applyInPandas(meet, f"query_id {kinds['query_id']}, id {kinds['id']}, score double")
+    scored = scored.withColumn("score", F.coalesce("score", F.lit(float("nan"))))  # pandas hands NaN on as null
     return best(scored, k, F.desc(F.round("score", 9)), F.col("id"))
 
 
