@@ -177,12 +177,31 @@ def rerank_pairs(candidates: DataFrame, scorer, top_k: int = 50, most_chars: int
     return best(pool, top_k, F.desc("pair_score"), F.col("rank"), rank="place")
 
 
+#: What a literal and a text meet on: runs of digits and of what stands between those of a version or a date.
+_RUN = r"[0-9.:/_-]*[0-9][0-9.:/_-]*"
+
+
 def literal_hits(queries: DataFrame, records: DataFrame, lits: Column, k: int = 2) -> DataFrame:
-    """The first k records by id that hold one of a query's literals (versions, dates) in title or body."""
-    asked = queries.select("query_id", F.explode(lits).alias("literal"))
-    blob = F.lower(F.concat_ws(" ", "title", "essence"))
-    joined = records.select("id", blob.alias("blob")).join(asked, F.contains(F.col("blob"), F.lower("literal")))
-    return best(joined.select("query_id", "id").distinct(), k, F.col("id"))
+    """The first k records by id that hold one of a query's literals (versions, dates) in title or body.
+
+    A literal's first run of digits and their separators lies within such a run of each text that holds it. So texts tell the
+    parts of their runs that are as long as some literal's, and meet literals on equal ones; a literal that is more than its
+    run is then looked for as a whole. Of each distinct literal only its first k records are kept. Literals without a digit
+    are compared with all texts.
+    """
+    asked = queries.select("query_id", F.explode(lits).alias("literal")).withColumn("literal", F.lower("literal"))
+    literals = asked.select("literal").distinct().withColumn("key", F.regexp_extract("literal", _RUN, 0))
+    texts = records.select("id", F.lower(F.concat_ws(" ", "title", "essence")).alias("blob"))
+    lengths = literals.where("key <> ''").agg(F.array_sort(F.collect_set(F.length("key"))).alias("lengths"))  # one row of lengths
+    runs = texts.select("id", F.explode(F.array_distinct(F.regexp_extract_all("blob", F.lit(_RUN), F.lit(0)))).alias("run")).crossJoin(F.broadcast(lengths))
+    sizes = runs.select("id", "run", F.explode("lengths").alias("n")).where(F.length("run") >= F.col("n"))
+    parts = sizes.select("id", F.explode(F.transform(F.sequence(F.lit(1), F.length("run") - F.col("n") + 1), lambda i: F.substring(F.col("run"), i, F.col("n")))).alias("key"))
+    met = parts.distinct().join(literals.where("key <> ''"), "key")
+    plain = met.where("key = literal").select("literal", "id")
+    more = met.where("key <> literal").join(texts, "id").where(F.contains("blob", F.col("literal"))).select("literal", "id")
+    wordy = texts.join(literals.where("key = ''"), F.contains("blob", F.col("literal"))).select("literal", "id")
+    first = best(plain.unionByName(more).unionByName(wordy).distinct(), k, F.col("id"), by="literal").drop("rank")
+    return best(asked.join(first, "literal").select("query_id", "id").distinct(), k, F.col("id"))
 
 
 def overlap_search(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
