@@ -208,5 +208,5 @@ def overlap_search(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     """(query_id, id, score, rank) by the share of a query's distinct words that a document has; exact, by blocks."""
     from lodestone.operators import blocks
 
-    way = blocks.Channel(T.tokens(F.col("text")), F.array_distinct(T.tokens(F.col("query"))), share=True)
-    return blocks.Texts(docs, queries, "id", [way], places=0).top(k).select("query_id", "id", "score", "rank")
+    found = blocks.covering(docs, queries, "id", T.tokens(F.col("text")), F.array_distinct(T.tokens(F.col("query"))), k)
+    return best(found, k, F.desc("score"), F.col("id"))
