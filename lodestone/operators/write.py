@@ -9,8 +9,21 @@ from lodestone.functions import text as T
 from lodestone.operators import graph, retrieval, store
 
 
+#: Records whose postings one task counts.
+RECORDS = 4096
+
+
 def postings(records: DataFrame) -> DataFrame:
-    """(id, term, tf): the full-text rows of records, over title, text and tags."""
+    """(id, term, tf): the full-text rows of records, over title, text and tags.
+
+    Records are dealt by id before their words are: so a record's words meet in the task that makes them, none is shuffled,
+    and what a task counts does not grow with the store or with the files that it is read from.
+    """
+    usual = int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = max(records.sparkSession.sparkContext.defaultParallelism, -(-records.count() // RECORDS))
+    # Records that a join has dealt by id to the usual number would stay in its tasks, which Spark unites as it finds them small.
+    tasks += tasks == usual
+    records = records.select("id", "title", "essence", "tags").repartition(tasks, "id")
     text = F.concat_ws(" ", "title", "essence", F.array_join(F.coalesce("tags", F.array().cast("array<string>")), " "))
     return records.select("id", F.explode(T.tokens(text)).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
 

@@ -210,3 +210,18 @@ def test_related_records_and_vaults_make_no_row_for_each_pair(spark):
     for df in (found, near.select("query_id", "id", "similarity")):
         plan = df._jdf.queryExecution().optimizedPlan().toString()
         assert "Generate explode(t" not in plan and "gram" not in plan and "count_if" not in plan
+
+
+def test_postings_are_counted_where_their_words_are_made(spark):
+    """One exchange, of records by id: before, each word went through one, and a task counted all that a file held."""
+    rows = [("a", "T", "x y x", ["z"]), ("b", None, "x", None), ("a", "T", "x", []), (None, "n", "n", []), ("c", "", "", [])]
+    found = write.postings(spark.createDataFrame(rows, "id string, title string, essence string, tags array<string>"))
+    assert sorted((r.id or "", r.term, r.tf) for r in found.collect()) == [("", "n", 2), ("a", "t", 2), ("a", "x", 3), ("a", "y", 1), ("a", "z", 1), ("b", "x", 1)]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    plan = plan.split("== Initial Plan ==")[-1]
+    assert plan.count("Exchange") == 1 and plan.index("Generate") < plan.index("Exchange")
+    # Also where a join has dealt them by id before.
+    usual = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    joined = spark.range(100).selectExpr("CAST(id AS string) AS id", "'t' AS title", "'x' AS essence", "array('y') AS tags")
+    joined = joined.hint("merge").join(spark.range(50).selectExpr("CAST(id AS string) AS id"), "id", "left")
+    assert f", {usual + 1}), REPARTITION_BY_NUM" in write.postings(joined)._jdf.queryExecution().executedPlan().toString()
